@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, line_dedup
+from . import host_rules, line_dedup, packing, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,21 @@ FROM marked GROUP BY doc_id
 """
 
 ORACLES: dict[str, str] = {"op5_line_dedup": LINE_SQL}
+
+
+def vocabulary() -> str:
+    """The public vocabulary file; its place is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES |= {"op8_packing": op8_packing, "op9_bpe": op9_bpe}
