@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, line_dedup, packing, secret_scan, tokens, warc
+from . import host_rules, line_dedup, neighbours, packing, secret_scan, tokens, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_warc": op7_warc}
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)))
+
+
+QUERIES |= {"op2_nearest": op2_nearest}
