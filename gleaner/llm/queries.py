@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, line_dedup, neighbours, packing, secret_scan, tokens, warc
+from . import host_rules, line_dedup, neighbours, packing, secret_scan, tokens, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,10 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_nearest": op2_nearest}
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES |= {"op4_toxicity": op4_toxicity}
