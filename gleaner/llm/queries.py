@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_rules, line_dedup, neighbours, packing, secret_scan, tokens, toxicity, warc
+from . import host_rules, line_dedup, neighbours, ngram_join, packing, secret_scan, tokens, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_toxicity": op4_toxicity}
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+QUERIES |= {"op1_ngram_join": op1_ngram_join}
