@@ -1,14 +1,551 @@
-"""Registered queries over the driver's tables, with the SQL that checks them."""
+"""Registered queries over the driver's tables, with the SQL that checks them.
+
+Scores are over all pages (or documents, line by line) for one query with a
+repeated token; tokens are not stemmed where SQL has to follow.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import catalog_sql as sql
+from .config import DEFAULT, FETCH, Search
+from .functions import text, urls
+from .functions.stem import stemmed
+from .operators import excerpts as ex
+from .operators import quality, render, scoring, segment
+from .plans import extract as plan
+from .plans import fetch as fetching
+from .plans import search as searching
+from .session import materialize
+from .sources.pages import document_blocks, parsed_pages
+from .streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+KEY = ("page_id",)
+PLAIN = DEFAULT.merged(stem=False)
+
+
+def query(oracle: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def q() -> Column:
+    return F.array(*map(F.lit, sql.QUERY))
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_blocks(table(spark, sf_dir, "documents"))
+
+
+def doc_sentences_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.sentences(documents(spark, sf_dir), stem=False)
+
+
+def page_sentences_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.page_sentences(parsed_pages(pages(spark, sf_dir)), PLAIN).withColumn("q", q())
+
+
+def scored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.ranked(page_sentences_of(spark, sf_dir), KEY)
+
+
+def with_bm25(rows: DataFrame) -> DataFrame:
+    return rows.join(scoring.page_stats(rows, KEY), list(KEY)).withColumn("raw_bm25", scoring.bm25())
+
+
+def doc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.without_citations(doc_sentences_of(spark, sf_dir)).withColumn("q", q())
+
+
+# --- URLs and queries
+
+
+@query(f"SELECT page_id, {sql.HOST} AS host, {sql.PATH} AS path, regexp_replace({sql.HOST}, '^www\\.', '') AS domain FROM pages")
+def url_parts(spark, sf_dir):
+    """Host, path and display domain."""
+    return pages(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"), urls.domain(F.col("url")).alias("domain"))
+
+
+@query(f"""SELECT page_id, regexp_replace({sql.HOST}, '^www\\.', '') || CASE WHEN length({sql.PATH}) > 40 THEN left({sql.PATH}, 37) || '...' ELSE {sql.PATH} END AS short FROM pages""")
+def url_short(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", urls.short(F.col("url")).alias("short"))
+
+
+_BLOCKED_SQL = f"""WITH u AS (SELECT page_id, regexp_replace({sql.HOST}, '^www\\.', '') AS h, {sql.PATH} AS p FROM (
+  SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, 'https://www.medium.com/@a/' || page_id FROM pages UNION ALL SELECT page_id + 2000000, 'https://github.com/u/r' || page_id FROM pages))
+SELECT page_id, h IN ('medium.com', 'npmjs.com', 'researchgate.net', 'grokipedia.org') OR regexp_matches(h, '\\.(medium\\.com|npmjs\\.com|researchgate\\.net|grokipedia\\.org)$')
+  OR (h = 'github.com' AND len(list_filter(string_split(p, '/'), lambda s: s <> '')) = 2) AS blocked FROM u"""
+
+
+@query(_BLOCKED_SQL)
+def url_blocked(spark, sf_dir):
+    p = pages(spark, sf_dir).select("page_id", "url")
+    more = p.select(F.col("page_id") + 1000000, F.concat(F.lit("https://www.medium.com/@a/"), F.col("page_id")))
+    fronts = p.select(F.col("page_id") + 2000000, F.concat(F.lit("https://github.com/u/r"), F.col("page_id")))
+    return p.unionAll(more).unionAll(fronts).select("page_id", urls.is_blocked(F.col("url")).alias("blocked"))
+
+
+def _dedup_sql() -> str:
+    h, p = sql.HOST, sql.PATH
+    for x in urls.HOST_PREFIXES:
+        h = f"regexp_replace({h}, '{x}', '')"
+    for x in urls.PATH_SEGMENTS:
+        p = f"regexp_replace({p}, '{x}', '/', 'g')"
+    return f"{h} || regexp_replace({p}, '/+', '/', 'g')"
+
+
+@query(f"""SELECT page_id, dedup_key FROM (SELECT page_id, {_dedup_sql()} AS dedup_key, row_number() OVER (PARTITION BY {_dedup_sql()} ORDER BY page_id) AS nth FROM pages) WHERE nth = 1""")
+def url_dedupe_first(spark, sf_dir):
+    """The first page of each normal form of URL."""
+    hits = pages(spark, sf_dir).select(F.lit(1).alias("query_id"), F.col("page_id").alias("ordinal"), "url", "page_id")
+    return searching.first_of_each(hits).select("page_id", urls.dedup_key(F.col("url")).alias("dedup_key"))
+
+
+_PATH_WORDS = f"flatten(list_transform(list_filter(string_split({sql.PATH}, '/'), lambda s: s <> ''), lambda s: {sql.tokens(chr(114) + chr(101) + 'place(s, ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ')')}))"
+
+
+@query(f"SELECT page_id, array_to_string({_PATH_WORDS}, ' ') AS words FROM pages")
+def url_path_tokens(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.array_join(urls.path_words(F.col("url")), " ").alias("words"))
+
+
+@query(f"""SELECT page_id, url || ':' || array_to_string(list_sort(list_distinct({sql.tokens("regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)")})), ',') AS key FROM pages""")
+def session_keys(spark, sf_dir):
+    """URL and sorted distinct tokens of the title."""
+    return pages(spark, sf_dir).select("page_id", urls.session_key(F.col("url"), text.tokens(text.title(F.col("html")))).alias("key"))
+
+
+_FORMS = ['%s docs', 'site:a.com %s', 'site:a.com OR site:b.org %s -draft', '"%s exact" filetype:pdf more', '-first %s  -second', 'state-of-the-art "%s"']
+_FORM_SQL = " UNION ALL ".join(f"SELECT n_nationkey AS nation, {i} AS form, replace('{f}', '%s', n_name) AS query FROM nation" for i, f in enumerate(_FORMS))
+
+
+@query(f"""WITH asked AS ({_FORM_SQL}),
+a AS (SELECT *, regexp_replace(query, '(?i)\\bsite:[\\w.-]+\\s+(OR|AND)\\s+site:', 'site:', 'g') AS x FROM asked)
+SELECT nation, form, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?i)\\bsite:[\\w.-]+', '', 'g'), '(^|\\s)-\\w+', ' ', 'g'), '(?i)\\bfiletype:\\w+', '', 'g'), '"([^"]+)"', '\\1', 'g'), '\\s+', ' ', 'g')) AS query FROM a""")
+def parse_operators(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    forms = F.explode(F.array(*[F.struct(F.lit(i).alias("form"), F.lit(f).alias("f")) for i, f in enumerate(_FORMS)]))
+    rows = nation.select(F.col("n_nationkey").alias("nation"), "n_name", forms.alias("x"))
+    return rows.select("nation", "x.form", urls.without_operators(F.replace("x.f", F.lit("%s"), F.col("n_name"))).alias("query"))
+
+
+# --- pages to blocks
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)) AS title FROM pages")
+def page_titles(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", text.title(F.col("html")).alias("title"))
+
+
+@query(f"WITH {sql.PAGE_BLOCKS} SELECT page_id, block_index, block_type, block, array_to_string(heading_path, ' > ') AS heading_path FROM blocks")
+def page_blocks(spark, sf_dir):
+    parsed = parsed_pages(pages(spark, sf_dir))
+    b = parsed.select("page_id", F.explode("blocks").alias("b"))
+    return b.select("page_id", F.col("b.index").alias("block_index"), F.col("b.type").alias("block_type"), F.col("b.text").alias("block"), F.array_join("b.heading_path", " > ").alias("heading_path"))
+
+
+@query(f"WITH {sql.PAGE_BLOCKS} SELECT page_id, CAST(sum(length(block)) AS BIGINT) AS n_chars, CAST(count(*) AS BIGINT) AS n_blocks, 'article' AS selector FROM blocks GROUP BY page_id")
+def main_text_len(spark, sf_dir):
+    parsed = parsed_pages(pages(spark, sf_dir))
+    chars = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + text.utf16_length(b["text"]))
+    return parsed.where(F.size("blocks") > 0).select("page_id", chars.alias("n_chars"), F.size("blocks").cast("long").alias("n_blocks"), "selector")
+
+
+# --- sentences, tokens, terms
+
+
+@query(sql.doc("", "SELECT page_id, global_index, block_index, sentence_index, text FROM sentences"))
+def doc_sentences(spark, sf_dir):
+    return doc_sentences_of(spark, sf_dir).select("page_id", "global_index", "block_index", "sentence_index", "text")
+
+
+@query(sql.page("one AS (SELECT 1)", "SELECT page_id, global_index, block_type, round(position, 6) AS position, text FROM sentences"))
+def page_sentences(spark, sf_dir):
+    rows = segment.sentences(parsed_pages(pages(spark, sf_dir)), stem=False)
+    return rounded(rows.select("page_id", "global_index", "block_type", "position", "text"), "position")
+
+
+@query(sql.doc("", "SELECT page_id, global_index, round(position, 6) AS position FROM sentences"))
+def sentence_positions(spark, sf_dir):
+    return rounded(doc_sentences_of(spark, sf_dir).select("page_id", "global_index", "position"), "position")
+
+
+@query(sql.doc("", "SELECT page_id, global_index, array_to_string(tokens, ' ') AS tokens FROM sentences"))
+def doc_tokens(spark, sf_dir):
+    return doc_sentences_of(spark, sf_dir).select("page_id", "global_index", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(sql.doc("w AS (SELECT page_id, unnest(tokens) AS term FROM sentences)", "SELECT page_id, term, CAST(count(*) AS BIGINT) AS tf FROM w GROUP BY page_id, term"))
+def term_freq(spark, sf_dir):
+    words = doc_sentences_of(spark, sf_dir).select("page_id", F.explode("tokens").alias("term"))
+    return words.groupBy("page_id", "term").agg(F.count("*").alias("tf"))
+
+
+_DF = "w AS (SELECT page_id, unnest(list_distinct(tokens)) AS term FROM sentences), d AS (SELECT page_id, term, count(*) AS df FROM w GROUP BY page_id, term)"
+
+
+@query(sql.doc(_DF, "SELECT page_id, term, CAST(df AS BIGINT) AS df FROM d"))
+def doc_freq(spark, sf_dir):
+    words = doc_sentences_of(spark, sf_dir).select("page_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    return words.groupBy("page_id", "term").agg(F.count("*").alias("df"))
+
+
+@query(sql.doc(_DF + ", c AS (SELECT page_id, count(*) AS n FROM sentences GROUP BY page_id)", "SELECT page_id, term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM d JOIN c USING (page_id)"))
+def idf(spark, sf_dir):
+    rows = doc_sentences_of(spark, sf_dir)
+    df = rows.select("page_id", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("page_id", "term").agg(F.count("*").alias("df"))
+    n = rows.groupBy("page_id").agg(F.count("*").alias("n"))
+    return df.join(n, "page_id").select("page_id", "term", F.round(scoring.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+@query(sql.doc("c AS (SELECT page_id, count(*) AS n, avg(len(tokens)) AS avgdl FROM sentences GROUP BY page_id)", "SELECT page_id, CAST(n AS BIGINT) AS n, round(avgdl, 6) AS avgdl FROM c"))
+def corpus_stats(spark, sf_dir):
+    rows = doc_sentences_of(spark, sf_dir)
+    return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.round(F.avg(F.size("tokens")), 6).alias("avgdl"))
+
+
+@query()
+def stemmed_vocab(spark, sf_dir):
+    """Stem of each word of the corpus; each word once."""
+    words = doc_sentences_of(spark, sf_dir).select(F.explode("tokens").alias("word")).distinct()
+    return words.select("word", F.get(stemmed(F.array("word")), F.lit(0)).alias("stem"))
+
+
+_NEXT = "p AS (SELECT page_id, global_index, tokens AS a, lead(tokens) OVER (PARTITION BY page_id ORDER BY global_index) AS b FROM sentences)"
+
+
+@query(sql.doc(_NEXT, "SELECT page_id, global_index, round(coalesce(len(list_intersect(a, b)) / nullif(CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 0), 0), 6) AS jaccard FROM p WHERE b IS NOT NULL"))
+def jaccard_pairs(spark, sf_dir):
+    """Similarity of each sentence to the next one."""
+    rows = doc_sentences_of(spark, sf_dir).withColumn("b", F.lead("tokens").over(Window.partitionBy("page_id").orderBy("global_index")))
+    return rows.where("b is not null").select("page_id", "global_index", F.round(text.jaccard(F.col("tokens"), F.col("b")), 6).alias("jaccard"))
+
+
+@query(sql.doc(_NEXT, "SELECT page_id, global_index, round(coalesce(len(list_filter(a, lambda w: list_contains(b, w))) / nullif(CAST(len(a) AS DOUBLE), 0), 0), 6) AS overlap FROM p WHERE b IS NOT NULL"))
+def term_overlap(spark, sf_dir):
+    rows = doc_sentences_of(spark, sf_dir).withColumn("b", F.lead("tokens").over(Window.partitionBy("page_id").orderBy("global_index")))
+    return rows.where("b is not null").select("page_id", "global_index", F.round(text.overlap(F.col("tokens"), F.col("b")), 6).alias("overlap"))
+
+
+# --- quality
+
+
+@query(sql.doc(sql._KEPT, "SELECT page_id, global_index, pos FROM kept"))
+def citation_filter(spark, sf_dir):
+    return quality.without_citations(doc_sentences_of(spark, sf_dir)).select("page_id", "global_index", "pos")
+
+
+@query(sql.doc(sql._KEPT, """, m AS (SELECT page_id, CAST(count(*) AS BIGINT) AS n_sentences, CAST(count_if(length(text) > 50) AS BIGINT) AS n_long, count_if(length(text) < 30) / CAST(count(*) AS DOUBLE) AS r, median(length(text)) AS md FROM kept GROUP BY page_id)
+SELECT page_id, n_sentences, n_long, round(r, 6) AS fragment_ratio, round(md, 6) AS median_length, n_sentences >= 5 AND n_long >= 3 AND r <= 0.65 AND md >= 25 AS passes,
+  CASE WHEN n_sentences < 5 THEN 'Too few sentences' WHEN n_long < 3 THEN 'Too few long sentences' WHEN r > 0.65 THEN 'Too many fragments' WHEN md < 25 THEN 'Median sentence too short' ELSE '' END AS rule FROM m""".lstrip()))
+def doc_quality(spark, sf_dir):
+    found = quality.page_quality(quality.without_citations(doc_sentences_of(spark, sf_dir)))
+    rule = F.regexp_replace(F.coalesce("reject_reason", F.lit("")), r" \(.*", "")
+    return rounded(found.select("page_id", "n_sentences", "n_long", "fragment_ratio", "median_length", "passes", rule.alias("rule")), "fragment_ratio", "median_length")
+
+
+@query(sql.doc(sql._KEPT, """, m AS (SELECT page_id, count(*) AS n, count_if(length(text) > 50) AS l, count_if(length(text) < 30) / CAST(count(*) AS DOUBLE) AS r, median(length(text)) AS md FROM kept GROUP BY page_id)
+SELECT lb.quality AS label, n >= 5 AND l >= 3 AND r <= 0.65 AND md >= 25 AS passes, CAST(count(*) AS BIGINT) AS n FROM m JOIN labels lb ON lb.doc_id = m.page_id GROUP BY ALL""".lstrip()))
+def quality_by_label(spark, sf_dir):
+    """How the gate agrees with the labels."""
+    found = quality.page_quality(quality.without_citations(doc_sentences_of(spark, sf_dir))).select("page_id", "passes")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("label"))
+    return found.join(labels, "page_id").groupBy("label", "passes").agg(F.count("*").alias("n"))
+
+
+# --- scores over pages
+
+
+def _page(select: str, scores: bool = True) -> str:
+    return sql.page(sql.STATS + (", " + sql.scored() if scores else ""), select)
+
+
+@query(_page("SELECT page_id, global_index, round(raw_bm25, 6) AS bm25 FROM bm", False))
+def bm25_scores(spark, sf_dir):
+    return with_bm25(page_sentences_of(spark, sf_dir)).select("page_id", "global_index", F.round("raw_bm25", 6).alias("bm25"))
+
+
+@query(sql.doc(sql.STATS, ", r AS (SELECT page_id, global_index, round(raw_bm25, 6) AS bm25, row_number() OVER (PARTITION BY page_id ORDER BY round(raw_bm25, 6) DESC, global_index) AS rank FROM bm) SELECT page_id, global_index, bm25, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"))
+def bm25_topk(spark, sf_dir):
+    """The five best sentences of every document."""
+    rows = with_bm25(doc_rows(spark, sf_dir)).withColumn("bm25", F.round("raw_bm25", 6))
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.col("bm25").desc(), "global_index"))
+    return rows.withColumn("rank", rank).where("rank <= 5").select("page_id", "global_index", "bm25", "rank")
+
+
+@query(sql.doc(sql.STATS, ", x AS (SELECT page_id, global_index, raw_bm25, min(raw_bm25) OVER (PARTITION BY page_id) AS lo, max(raw_bm25) OVER (PARTITION BY page_id) AS hi FROM bm) SELECT page_id, global_index, round(CASE WHEN hi = lo THEN 0.5 ELSE (raw_bm25 - lo) / (hi - lo) END, 6) AS bm25 FROM x"))
+def bm25_normalized(spark, sf_dir):
+    rows = with_bm25(doc_rows(spark, sf_dir))
+    return rows.select("page_id", "global_index", F.round(scoring.normalized(F.col("raw_bm25"), scoring.group(KEY)), 6).alias("bm25"))
+
+
+def _relevance(select: str) -> str:
+    return sql.doc(sql.STATS + ", " + sql.RELEVANCE, select)
+
+
+def doc_relevance(spark, sf_dir, mode: str = "strict") -> DataFrame:
+    rows = doc_rows(spark, sf_dir)
+    return scoring.relevance(rows, scoring.page_stats(rows, KEY), mode, KEY)
+
+
+@query(_relevance("SELECT page_id, round(cover, 6) AS coverage FROM rel"))
+def query_coverage(spark, sf_dir):
+    return doc_relevance(spark, sf_dir).select("page_id", F.round("coverage", 6).alias("coverage"))
+
+
+@query(_relevance("SELECT page_id, CAST(together AS INTEGER) AS cooccurrence FROM rel"))
+def cooccurrence(spark, sf_dir):
+    return doc_relevance(spark, sf_dir).select("page_id", "cooccurrence")
+
+
+@query(_relevance("SELECT page_id, central FROM rel"))
+def central_terms(spark, sf_dir):
+    return doc_relevance(spark, sf_dir).select("page_id", F.col("has_central").alias("central"))
+
+
+@query(_relevance("SELECT page_id, round(best, 6) AS best, (together >= 2 AND best > 1.0) OR (central AND best > 0.8) OR (cover >= 0.8 AND best > 0.5) AS relevant FROM rel"))
+def relevance_strict(spark, sf_dir):
+    return doc_relevance(spark, sf_dir).select("page_id", F.round("max_bm25", 6).alias("best"), "relevant")
+
+
+@query(_relevance("SELECT page_id, (best > 0.8 AND cover >= 0.25) OR (together >= 2 AND best > 0.5) OR (central AND best > 0.4) OR (cover >= 0.5 AND best > 0.3) AS relevant FROM rel"))
+def relevance_search(spark, sf_dir):
+    return doc_relevance(spark, sf_dir, "search").select("page_id", "relevant")
+
+
+@query(_page("SELECT DISTINCT page_id, round(density_median, 6) AS density_median, round(density_mad, 6) AS density_mad FROM mads"))
+def density_mad(spark, sf_dir):
+    return rounded(scored_pages(spark, sf_dir).select("page_id", "density_median", "density_mad").distinct(), "density_median", "density_mad")
+
+
+def _heuristic(name: str) -> None:
+    def run(spark, sf_dir):
+        return scored_pages(spark, sf_dir).select("page_id", "global_index", F.round(f"h_{name}", 6).alias("score"))
+
+    run.__name__ = f"h_{name}"
+    run.__doc__ = f"The {name.replace('_', ' ')} score of every sentence."
+    query(_page(f"SELECT page_id, global_index, round(h_{name}, 6) AS score FROM h"))(run)
+
+
+for _name in scoring.WEIGHTS:
+    _heuristic(_name)
+
+
+@query(_page("SELECT page_id, global_index, round(heuristic_score, 6) AS score FROM sums"))
+def heuristic_combined(spark, sf_dir):
+    return scored_pages(spark, sf_dir).select("page_id", "global_index", F.round("heuristic_score", 6).alias("score"))
+
+
+@query(_page("SELECT page_id, global_index, round(combined_score, 9) AS score, CAST(row_number() OVER (PARTITION BY page_id ORDER BY round(combined_score, 9) DESC, global_index) AS INTEGER) AS rank FROM scores"))
+def rank_combined(spark, sf_dir):
+    rows = scored_pages(spark, sf_dir).withColumn("score", F.round("combined_score", 9))
+    order = Window.partitionBy("page_id").orderBy(F.col("score").desc(), "global_index")
+    return rows.select("page_id", "global_index", "score", F.row_number().over(order).alias("rank"))
+
+
+@query(_page("""SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST(coalesce(max(CASE WHEN block_type = 'h1' THEN pos END) OVER w, pos) AS INTEGER) AS first,
+  CAST(coalesce(min(CASE WHEN block_type = 'h1' THEN pos END) OVER v - 1, max(pos) OVER (PARTITION BY page_id)) AS INTEGER) AS last
+FROM kept WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)""", False))
+def section_bounds(spark, sf_dir):
+    """First and last sentence of the section around every sentence."""
+    rows = page_sentences_of(spark, sf_dir)
+
+    def make(held: list[dict]) -> list[tuple]:
+        page = ex.Page([ex.Sentence(i, r["text"], frozenset(), r["block_type"], [], 0.0) for i, r in enumerate(held)])
+        return [(i, *page.section(i)) for i in range(len(held))]
+
+    return ex.streamed(rows.select("page_id", "pos", "text", "block_type"), ["page_id"], ["pos"], make, "at int, first int, last int").withColumnRenamed("at", "pos")
+
+
+# --- search: filters, page rank, budget
+
+
+_TITLE = "trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1))"
+
+
+@query(f"""WITH t AS (SELECT page_id, list_distinct(list_concat({sql.tokens(_TITLE)}, {_PATH_WORDS})) AS pool FROM pages),
+m AS (SELECT page_id, len(list_filter({sql._Q}, lambda x: list_contains(pool, x))) / 5.0 AS match FROM t)
+SELECT page_id, round(match, 6) AS match, match >= 0.4 AS wanted FROM m""")
+def prescrape_filter(spark, sf_dir):
+    rows = pages(spark, sf_dir).select("page_id", "url", text.title(F.col("html")).alias("title"), F.lit("").alias("content"), q().alias("q"))
+    rows = rows.withColumn("pool", searching.pool(stem=False))
+    match = searching.title_match()
+    return rows.select("page_id", F.round(match, 6).alias("match"), (match >= 0.4).alias("wanted"))
+
+
+@query(_page(f""", best AS (SELECT page_id, max(combined_score) AS best FROM scores GROUP BY page_id),
+o AS (SELECT page_id, {sql.tokens(_TITLE)} AS t, {_PATH_WORDS} AS u FROM pages),
+r AS (SELECT page_id, 0.35 * (len(list_filter({sql._Q}, lambda x: list_contains(t, x))) / 5.0) + 0.15 * (len(list_filter({sql._Q}, lambda x: list_contains(u, x))) / 5.0) + 0.35 * best + 0.15 * least((page_id % 13) / 10.0, 1.0) AS s FROM o JOIN best USING (page_id))
+SELECT page_id, round(s, 9) AS relevance, CAST(row_number() OVER (ORDER BY round(s, 9) DESC, page_id) AS INTEGER) AS page_rank FROM r""".lstrip()))
+def page_relevance(spark, sf_dir):
+    """Pages by title, path, best sentence and a given score; all of them, ranked by one range partitioning."""
+    best = scored_pages(spark, sf_dir).groupBy("page_id").agg(F.max("combined_score").alias("best"))
+    rows = pages(spark, sf_dir).select("page_id", "url", text.title(F.col("html")).alias("title"), q().alias("q"), (F.col("page_id") % 13).cast("double").alias("score")).join(best, "page_id")
+    scored = searching.relevance_tokens(rows, stem=False).select("page_id", F.round(searching.page_relevance(), 9).alias("relevance"))
+    return _numbered(materialize(scored, "relevance"), [F.col("relevance").desc(), F.col("page_id")], "page_rank")
+
+
+def _numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Global row numbers without one task for all rows: sorted by range, counted
+    by partition, numbered within."""
+    ranged = materialize(df.orderBy(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("__part").count()
+    before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + nth).cast("int")).drop("__part", "__before")
+
+
+_BUDGET_SQL = f"""WITH {sql.PAGE_BLOCKS}, p AS (SELECT page_id % 20 AS query_id, page_id, list({{'i': block_index, 'n': length(block)}} ORDER BY block_index) AS parts, sum(length(block)) AS chars FROM blocks GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY page_id) AS k FROM p),
+b AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY query_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
+f AS (SELECT *, sum(CASE WHEN before + chars > 12000 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS n_over FROM b)
+SELECT query_id, page_id, CAST(CASE WHEN n_over = 0 THEN len(parts) WHEN n_over = 1 AND before + chars > 12000 AND 12000 - before > 200 THEN
+  list_reduce(list_prepend({{'i': CAST(0 AS INTEGER), 'n': CAST(0 AS BIGINT)}}, parts), lambda a, x: CASE WHEN a.n + x.n <= 12000 - before THEN {{'i': a.i + 1, 'n': a.n + x.n}} ELSE a END).i ELSE 0 END AS INTEGER) AS n_kept FROM f"""
+
+
+@query(_BUDGET_SQL)
+def page_budget(spark, sf_dir):
+    """Blocks of pages in place of excerpts: how many of each page fit its query's budget."""
+    parsed = parsed_pages(pages(spark, sf_dir)).where(F.size("blocks") > 0)
+    parts = F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), text.utf16_length(b["text"]).alias("char_count")))
+    rows = parsed.select((F.col("page_id") % 20).alias("query_id"), "page_id", parts.alias("parts"))
+    rows = rows.withColumn("chars", F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["char_count"]))
+    rows = rows.withColumn("page_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("page_id")))
+    return searching.page_budget(rows, 12_000).select("query_id", "page_id", F.size("kept").alias("n_kept"))
+
+
+@query("""WITH a AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_key, event_type AS key, ts, coalesce(date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) > 600000000, false) AS rest FROM events),
+s AS (SELECT *, sum(CASE WHEN rest THEN 1 ELSE 0 END) OVER (PARTITION BY session_key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM a)
+SELECT event_id, CAST(session AS BIGINT) AS session, row_number() OVER (PARTITION BY session_key, session, key ORDER BY ts, event_id) > 1 AS seen FROM s""")
+def session_skip(spark, sf_dir):
+    """Events as accesses of a session that rests after ten minutes."""
+    events = table(spark, sf_dir, "events")
+    rows = events.select("event_id", F.col("user_id").cast("string").alias("session_key"), F.col("event_type").alias("key"), "ts", F.col("event_id").alias("seq"))
+    return sessions.mark_seen(rows, 600).select("event_id", F.col("session").cast("long").alias("session"), "seen")
+
+
+# --- sequential operators, checked against plain Python in the tests
+
+
+def _asked(spark) -> DataFrame:
+    return plan.query_table(spark, [(1, "thtion attion"), (2, "erheit sch"), (3, "the of")])
+
+
+def _flat(found: DataFrame) -> DataFrame:
+    return found.withColumn("heading_path", F.array_join("heading_path", " > ")).withColumn("places", F.array_join("places", ",")).withColumn("score", F.round("score", 6))
+
+
+@query()
+def anchors(spark, sf_dir):
+    """Diverse, spaced best sentences of every page."""
+    rows = scored_pages(spark, sf_dir).select("page_id", "global_index", "text", "tokens", "block_type", "heading_path", "combined_score")
+
+    def make(held: list[dict]) -> list[tuple]:
+        ranked = sorted(ex._sentences(held), key=lambda s: (-s.score, s.index))
+        return [(i, s.index, s.score) for i, s in enumerate(ex.choose_anchors(ranked, DEFAULT.anchors))]
+
+    return rounded(ex.streamed(rows, ["page_id"], ["global_index"], make, "nth int, anchor int, score double"), "score")
+
+
+def _chunks(step: Callable) -> Callable:
+    def run(spark, sf_dir):
+        rows = scored_pages(spark, sf_dir).select("page_id", "global_index", "text", "tokens", "block_type", "heading_path", "combined_score")
+
+        def make(held: list[dict]) -> list[tuple]:
+            sentences = ex._sentences(held)
+            page = ex.Page(sentences)
+            ranked = sorted(sentences, key=lambda s: (-s.score, s.index))
+            found = step(page, [page.chunk(a, DEFAULT.expand, a.pos) for a in ex.choose_anchors(ranked, DEFAULT.anchors)])
+            return [(i, c.anchor, c.score, c.chars, sorted(c.places), c.text) for i, c in enumerate(found)]
+
+        found = ex.streamed(rows, ["page_id"], ["global_index"], make, "nth int, anchor int, score double, char_count int, places array<int>, text string")
+        return rounded(found.withColumn("places", F.array_join("places", ",")), "score")
+
+    return run
+
+
+QUERIES["chunks"] = _chunks(lambda page, found: found)
+QUERIES["deduped_chunks"] = _chunks(lambda page, found: ex.drop_contained(ex.merge_chunks(page, found, DEFAULT.dedupe)))
+
+
+@query()
+def excerpts(spark, sf_dir):
+    """Three queries over all pages, end to end."""
+    return _flat(plan.extract(pages(spark, sf_dir), _asked(spark)))
+
+
+@query()
+def excerpt_reports(spark, sf_dir):
+    asked = _asked(spark)
+    return render.excerpt_report(materialize(plan.extract(pages(spark, sf_dir), asked), "excerpts"), asked.select("query_id", "query"))
+
+
+@query()
+def opening_excerpts(spark, sf_dir):
+    """What a query without tokens gets of every page."""
+    rows = page_sentences_of(spark, sf_dir).withColumn("query_id", F.lit(0).cast("long"))
+    return _flat(ex.opening(rows, DEFAULT))
+
+
+@query()
+def doc_excerpts(spark, sf_dir):
+    """Excerpts of plain documents."""
+    return _flat(plan.extract_parsed(documents(spark, sf_dir), _asked(spark), FETCH)[0])
+
+
+@query()
+def fetch_markdown(spark, sf_dir):
+    return fetching.fetch_pages(pages(spark, sf_dir))
+
+
+@query()
+def fetch_query(spark, sf_dir):
+    return fetching.fetch_for(pages(spark, sf_dir), "thtion attion")
+
+
+def _search_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every fifth of all pages is a hit of one of 20 queries."""
+    p = pages(spark, sf_dir)
+    asked = spark.range(20).select(F.col("id").alias("query_id"), F.concat(F.lit("site:a.com "), F.element_at(F.array(*map(F.lit, ["thtion", "attion", "erheit", "en"])), (F.col("id") % 4 + 1).cast("int"))).alias("search_query"))
+    order = F.row_number().over(Window.partitionBy(F.col("page_id") % 20).orderBy("page_id")) - 1
+    hits = p.select((F.col("page_id") % 20).alias("query_id"), order.alias("ordinal"), "url", text.title(F.col("html")).alias("title"), F.lit("thtion attion erheit en").alias("content"), (F.col("page_id") % 13).cast("double").alias("score"), F.lit("test").alias("engine"))
+    fetched = p.select("page_id", "url", F.when(F.col("page_id") % 11 == 0, F.lit(None)).otherwise(F.col("html")).alias("html"), F.when(F.col("page_id") % 11 == 0, "HTTP 403: Forbidden").alias("error"))
+    return asked, hits, fetched.dropDuplicates(["url"])
+
+
+@query()
+def search_results(spark, sf_dir):
+    return searching.search(*_search_inputs(spark, sf_dir), Search(max_results=10), diagnostics=True)
+
+
+@query()
+def status_counts(spark, sf_dir):
+    _, lines, _ = searching.search_tables(*_search_inputs(spark, sf_dir), Search(max_results=10))
+    return rounded(render.status_counts(lines), "mean_coverage")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return excerpts(spark, sf_dir)
