@@ -69,7 +69,7 @@ def test_search_text(tables):
     assert "```\nconst [n, setN] = useState(0)\n```" in got and "menu entry" not in got
     assert "Tokens: [us, state, hook]" in got
     assert "x [medium.com/react-hooks] SKIPPED: JS-rendered site" in got
-    assert "- [c.com/hooks] FAILED: HTTP 403: Forbidden" in got and "x [d.com/hooks] SKIPPED: Too few sentences (3 < 5)" in got
+    assert "- [c.com/hooks] FAILED: HTTP 403: Forbidden" in got and "x [d.com/hooks] SKIPPED: Too few sentences (1 < 5)" in got
     assert "- Only 1/6 pages had relevant content." in got
 
 
@@ -141,7 +141,8 @@ def test_fetch(spark, tables):
     assert "```\nconst [n, setN] = useState(0)\n```" in got[1] and got[3] == "Error fetching https://c.com/hooks: HTTP 403: Forbidden"
     assert got[5] == "# e.com\nSource: https://e.com/hooks\n\nCould not extract main content from page."
     cut = {r["page_id"]: r["content"] for r in fetch.fetch_pages(pages, 150).collect()}
-    assert cut[1].endswith("## State") and cut[2].endswith("...") and len(cut[2]) < 220
+    assert cut[1].endswith("renders of the tree.") and cut[2].endswith("number 0 in the list.")
+    assert {r["page_id"]: r["content"] for r in fetch.fetch_pages(pages, 225).collect()}[2].endswith("...")
     asked = {r["page_id"]: r["content"] for r in fetch.fetch_for(pages, "useState hook").collect()}
     assert asked[1].startswith("# React hooks\nSource: https://a.com/react/hooks\n\n> React hooks > State\n") and asked[2].endswith('No relevant content found for query "useState hook".')
 
@@ -182,24 +183,29 @@ def test_batch_sessions(spark):
     assert {r["seq"]: r["seen"] for r in sessions.mark_seen(accesses(spark)).collect()} == SEEN
 
 
-def wait(stream, seconds: float = 90) -> None:
-    stream.processAllAvailable()
-    stream.stop()
+def run_stream(rows, name: str, folder, n: int, mode: str = "append"):
+    """Rows of a stream that is stopped once there are ``n``: with processing-time
+    timers it always runs another batch and would not end by itself."""
+    stream = rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(folder / "c")).start()
+    try:
+        for _ in range(120):
+            found = rows.sparkSession.table(name).collect()
+            if len(found) >= n or stream.exception():
+                return found
+            time.sleep(0.5)
+        return found
+    finally:
+        stream.stop()
 
 
 def test_streaming_sessions(spark, tmp_path):
     accesses(spark).coalesce(1).write.parquet(str(tmp_path / "in"))
     rows = spark.readStream.schema("session_key string, ts timestamp, seq long, key string").parquet(str(tmp_path / "in"))
-    stream = sessions.stream_seen(rows).writeStream.format("memory").queryName("seen").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
-    wait(stream)
-    assert {r["seq"]: r["seen"] for r in spark.table("seen").collect()} == SEEN
+    assert {r["seq"]: r["seen"] for r in run_stream(sessions.stream_seen(rows), "seen", tmp_path, 6, "update")} == SEEN
 
 
 def test_streaming_pages_and_event_time(spark, tmp_path):
     spark.createDataFrame([p[:3] for p in PAGES if p[2]], "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
-    stream = sessions.stream_pages(spark, str(tmp_path / "p")).writeStream.format("memory").queryName("parsed").option("checkpointLocation", str(tmp_path / "c")).start()
-    wait(stream)
-    assert spark.table("parsed").count() == 4
+    assert len(run_stream(sessions.stream_pages(spark, str(tmp_path / "p")), "parsed", tmp_path, 4)) == 4
     spans = sessions.event_sessions(accesses(spark)).collect()
-    assert sorted((r["session_key"], r["n_accesses"]) for r in spans) == [("s", 1), ("s", 2), ("s", 2), ("t", 1)] or len(spans) == 4
-    assert time.time() > 0
+    assert sorted((r["session_key"], r["n_accesses"]) for r in spans) == [("s", 2), ("s", 3), ("t", 1)]
