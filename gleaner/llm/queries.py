@@ -111,3 +111,36 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_suffix_dedup": op10_suffix_dedup}
+
+HOST_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS f FROM documents),
+x AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+y AS (SELECT r, i, a, lead(a, 1) OVER p AS b, lead(a, 2) OVER p AS c FROM x WINDOW p AS (PARTITION BY r ORDER BY i)),
+z AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM y WHERE c IS NOT NULL),
+v AS (SELECT DISTINCT r, i + k AS j FROM z CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) ks WHERE n > 1),
+reps AS (SELECT r, count(*) AS n FROM v GROUP BY r),
+m AS (
+  SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda q: length(q))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(f) - len(list_distinct(f)) AS BIGINT) AS n_dup_lines, coalesce(reps.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN reps ON reps.r = d.r),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 10 * n_symbols > n_words OR word_chars > 12 * n_words OR n_dup_lines >= 3 AS soft_failed FROM m),
+hosts AS (SELECT host, count(*) AS n, count_if(base_failed OR soft_failed) AS k FROM j GROUP BY host),
+prior AS (SELECT avg(k / n) AS mean, greatest(1.0, coalesce(avg(k / n) * (1 - avg(k / n)) / nullif(var_pop(k / n), 0), 1e6) - 1) AS strength FROM hosts),
+bad AS (SELECT host, (k + mean * strength) / (n + strength) > 0.6 AS bad FROM hosts CROSS JOIN prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT (bad AND soft_failed) AS kept
+FROM j JOIN bad ON bad.host IS NOT DISTINCT FROM j.host
+"""
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT sha, min(page_id) AS first FROM p GROUP BY sha)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(p.sha, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f ON f.sha = p.sha
+"""
+
+ORACLES |= {"op6_host_rules": HOST_SQL, "op7_warc": WARC_SQL}
