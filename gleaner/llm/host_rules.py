@@ -91,12 +91,12 @@ def host_verdicts(metrics: DataFrame, host_rate: float = 0.6) -> DataFrame:
     and bad. The prior's mean and strength come from the moments of the hosts'
     raw rates: m and v give a + b = m(1-m)/v - 1, at least 1."""
     hosts = metrics.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum((base_failed() | soft_failed()).cast("long")).alias("n_failed"))
-    rates = hosts.agg(F.avg(F.col("n_failed") / F.col("n_docs")).alias("m"), F.var_pop(F.col("n_failed") / F.col("n_docs")).alias("v"))
-    prior = rates.select(F.col("m"), F.greatest(F.lit(1.0), F.coalesce(F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")), F.lit(1e6)) - 1).alias("strength"))
-    # one row of two numbers, whatever the input's size
-    shrunk = hosts.join(F.broadcast(prior))
-    rate = (F.col("n_failed") + F.col("m") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))
-    return shrunk.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > host_rate).alias("bad"))
+    rate = F.col("n_failed") / F.col("n_docs")
+    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # two numbers
+    mean = m or 0.0
+    strength = max(1.0, mean * (1 - mean) / v - 1) if v else 1e6
+    shrunk = (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength)
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("rate"), (shrunk > host_rate).alias("bad"))
 
 
 def judge(docs: DataFrame, host: str = "source", host_rate: float = 0.6) -> DataFrame:

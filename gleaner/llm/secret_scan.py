@@ -137,8 +137,8 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.drop("base", "tested").withColumns({"base": base, "tested": tested})
 
 
-def thresholds(scanned: DataFrame) -> DataFrame:
-    """One row: for each length stratum the bits from which strings are reported
+def thresholds(scanned: DataFrame) -> list[int]:
+    """For each length stratum the bits from which strings are reported
     (Benjamini-Hochberg on the histogram of bits over all tested strings)."""
     tests = scanned.select(F.explode("tested").alias("t")).select("t.stratum", "t.bits").groupBy("stratum", "bits").agg(F.count("*").alias("n"))
     # at most strata x (BINS + 1) rows, whatever the corpus
@@ -148,17 +148,17 @@ def thresholds(scanned: DataFrame) -> DataFrame:
         lambda b: F.pow(F.lit(2.0), -b) * F.col("m")
         <= FDR * F.aggregate("bins", F.lit(0).cast("long"), lambda total, x: total + F.when(x["bits"] >= b, x["n"]).otherwise(F.lit(0).cast("long"))),
     )
-    least = bins.select("stratum", F.coalesce(F.array_min(passing), F.lit(BINS + 1)).alias("least"))
-    return least.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "least"))).alias("least_bits"))
+    least = {r["stratum"]: r["least"] for r in bins.select("stratum", F.array_min(passing).alias("least")).collect()}  # a number a stratum
+    return [least.get(i) or BINS + 1 for i in range(len(STRATA) + 1)]
 
 
-def with_spans(scanned: DataFrame, least: DataFrame) -> DataFrame:
+def with_spans(scanned: DataFrame, least: list[int]) -> DataFrame:
     """Adds ``spans``: base ones and, from ``tested``, the reported random ones,
     by start, then kind."""
-    reported = F.filter("tested", lambda t: t["random"] & F.coalesce(t["bits"] >= F.try_element_at("least_bits", t["stratum"]), F.lit(False)))
+    bounds = F.array(*map(F.lit, least))
+    reported = F.filter("tested", lambda t: t["random"] & (t["bits"] >= F.get(bounds, t["stratum"])))
     spans = F.sort_array(F.concat("base", F.transform(reported, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))))
-    # a single row of four numbers
-    return scanned.join(F.broadcast(least)).withColumn("spans", spans).drop("tested", "least_bits")
+    return scanned.withColumn("spans", spans).drop("tested")
 
 
 def written(spans: Column) -> Column:
@@ -190,5 +190,6 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with all spans of ``text`` replaced; thresholds come from a first
     pass that keeps test results only, so text is never shuffled."""
     results = materialize(scan(docs.select("text")).select("tested"), "secret-tests")
-    found = with_spans(scan(docs), thresholds(results))
-    return found.withColumn("text", redacted(F.col("text"), F.col("spans"))).select(docs.columns)
+    rows = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # no name of the input can clash
+    found = with_spans(scan(rows), thresholds(results))
+    return found.select(F.col("row").withField("text", redacted(F.col("text"), F.col("spans"))).alias("row")).select("row.*")
