@@ -20,7 +20,7 @@ from .operators import quality, render, scoring, segment
 from .plans import extract as plan
 from .plans import fetch as fetching
 from .plans import search as searching
-from .session import materialize
+from .session import materialize, spread
 from .sources.pages import document_blocks, parsed_pages
 from .streaming import sessions
 
@@ -53,11 +53,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_blocks(table(spark, sf_dir, "documents"))
+    return document_blocks(spread(table(spark, sf_dir, "documents")))
 
 
 def doc_sentences_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def doc_sentences_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_sentences_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.page_sentences(parsed_pages(pages(spark, sf_dir)), PLAIN).withColumn("q", q())
+    return materialize(plan.page_sentences(parsed_pages(pages(spark, sf_dir)), PLAIN).withColumn("q", q()), "sentences")
 
 
 def scored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,8 @@ def with_bm25(rows: DataFrame) -> DataFrame:
 
 
 def doc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.without_citations(doc_sentences_of(spark, sf_dir)).withColumn("q", q())
+    """Written out: statistics and scores both read it."""
+    return materialize(quality.without_citations(doc_sentences_of(spark, sf_dir)).withColumn("q", q()), "sentences")
 
 
 # --- URLs and queries

@@ -33,6 +33,8 @@ FRAGMENTS = [
     r"^([A-Z][a-z]*\s*){1,5}\.(\s+\d{1,2}\s+\w+\s+\d{4}\.?)?\z",
     rf"(?i)\.\s+\d{{1,2}}\s+{MONTHS}\s+\d{{4}}\.?\z",
 ]
+#: Something of this is in every citation; a single plain search spares most sentences the patterns.
+CITATION_HINT = r"(?i)retrieved|accessed|archived|doi|isbn|pmid|arxiv|issn|^[\^\[]"
 FRAGMENT_MOST = 50
 LONG, SHORT = 50, 30
 
@@ -41,15 +43,16 @@ def _either(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def is_citation(sentence: Column) -> Column:
-    s = text.trim(sentence)
-    return s.rlike(_either(CITATIONS)) | (text.utf16_length(s) < FRAGMENT_MOST) & s.rlike(_either(FRAGMENTS))
+def is_citation(sentence: Column, trimmed: bool = False) -> Column:
+    s = sentence if trimmed else text.trim(sentence)
+    whole = F.when(s.rlike(CITATION_HINT), s.rlike(_either(CITATIONS))).otherwise(F.lit(False))
+    return whole | F.when(text.utf16_length(s) < FRAGMENT_MOST, s.rlike(_either(FRAGMENTS))).otherwise(F.lit(False))
 
 
 def without_citations(sentences: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Drops citations; ``pos`` numbers what is left, global_index stays."""
+    """Drops citations (sentences come trimmed); ``pos`` numbers what is left, global_index stays."""
     order = Window.partitionBy(*keys).orderBy("global_index")
-    return sentences.where(~is_citation(F.col("text"))).withColumn("pos", F.row_number().over(order) - 1)
+    return sentences.where(~is_citation(F.col("text"), trimmed=True)).withColumn("pos", F.row_number().over(order) - 1)
 
 
 def reject_reason(n: Column, long: Column, fragments: Column, median: Column, q: Quality = Quality()) -> Column:

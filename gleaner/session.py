@@ -56,6 +56,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if a small input would leave some idle: a table of one
+    file is one task. Inputs of more partitions than cores pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to shared storage and read it back: cuts lineage and
     survives lost executors, unlike cached blocks."""
