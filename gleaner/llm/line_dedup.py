@@ -79,12 +79,9 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     spark = docs.sparkSession
     ship(spark)
     seen = materialize(line_occurrences(docs, min_chars), "lines")
-    frequent = (
-        seen.groupBy("h1", "h2")
-        .agg(F.count_distinct("__doc").alias("n_docs"), F.max("__doc").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper")
-    )
+    counted = seen.groupBy("h1", "h2").agg(F.count_distinct("__doc").alias("n_docs"), F.max("__doc").alias("keeper"))
+    # written out, so that the join below reads both sides from plain exchanges, which can be split where a line is hot
+    frequent = materialize(counted.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "frequent")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = materialize(seen.join(frequent, ["h1", "h2"]), "hot-lines")
     lost = (
