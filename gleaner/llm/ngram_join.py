@@ -283,9 +283,9 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_hash"))
 
 
-def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, text_hash, class (key), class_id (least doc_id of the class) and
-    n_links (other texts within the threshold), a row for each row of ``docs``."""
+def membership(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, text_hash, class (key) and n_links (other texts within the
+    threshold), a row for each row of ``docs``."""
     ship(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = _own(docs)
@@ -320,14 +320,19 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     every = described.select("doc_id", "text_hash", "node").join(known, F.col("node") == F.col("linked"), "left").select(
         "doc_id", "text_hash", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
-    every = materialize(every, "membership")
+    return materialize(every, "membership")
+
+
+def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``membership`` with class_id, the least doc_id of the class."""
+    every = membership(docs, threshold)
     least = materialize(every.groupBy("class").agg(F.min("doc_id").alias("class_id")).withColumnRenamed("class", "named"), "class-ids")
     return every.join(least, every["class"] == least["named"]).drop("named")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The row with the least doc_id of each class, with all its columns."""
-    found = classes(docs, threshold)
+    found = membership(docs, threshold)
     kept = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
     own = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = materialize(kept, "kept")
