@@ -109,38 +109,41 @@ class Model:
     def __post_init__(self) -> None:
         self.matcher = None
 
-    def _hits(self, low: str) -> dict[int, float]:
-        """Weight of the longest entry at each word start that has one."""
+    def _hits(self, low: str) -> tuple[dict[int, float], set[int]]:
+        """Weight of the longest entry at each word start that has one, and the
+        starts of threat words."""
         if self.matcher is None:
             import ahocorasick
 
             self.matcher = ahocorasick.Automaton()
-            for entry, w in self.lexicon.items():
-                bare = entry.rstrip(" ")
-                whole, prefix = self.lexicon.get(bare + " "), self.lexicon.get(bare)
-                self.matcher.add_word(bare, (len(bare), whole, prefix))
+            threats = {w for w, kind in CLASS_OF.items() if kind == THREAT}
+            for bare in threats | {entry.rstrip(" ") for entry in self.lexicon}:
+                self.matcher.add_word(bare, (len(bare), self.lexicon.get(bare + " "), self.lexicon.get(bare), bare in threats))
             self.matcher.make_automaton()
         longest: dict[int, tuple[int, float]] = {}
-        if not self.lexicon:
-            return {}
+        threatened: set[int] = set()
         n = len(low)
-        for end, (size, whole, prefix) in self.matcher.iter(low):
+        for end, (size, whole, prefix, threat) in self.matcher.iter(low):
             start = end + 1 - size
             if start and low[start - 1].isalpha():
                 continue
-            w = whole if whole is not None and (end + 1 == n or not low[end + 1].isalpha()) else prefix
+            closed = end + 1 == n or not low[end + 1].isalpha()
+            if threat and closed:
+                threatened.add(start)
+            w = whole if whole is not None and closed else prefix
             if w is not None and longest.get(start, (0, 0.0))[0] < size:
                 longest[start] = (size, w)
-        return {start: w for start, (_, w) in longest.items()}
+        return {start: w for start, (_, w) in longest.items()}, threatened
 
     def clauses(self, text: str) -> list[float]:
-        """Scores of the clauses that match."""
+        """Scores of the clauses that match. Only an insult or a threat can begin
+        a score, so clauses without either are not run."""
         low = text.lower()
-        hits = self._hits(low)
-        if not hits:
+        hits, threatened = self._hits(low)
+        if not hits and not threatened:
             return []
         following, weight = GRAMMAR
-        spots, scores, at = sorted(hits), [], 0
+        spots, scores, at = sorted(threatened.union(hits)), [], 0
         for clause in CLAUSE.finditer(low):
             if at == len(spots):
                 break

@@ -28,6 +28,16 @@ def test_clauses_are_scored_in_context():
     assert T.Model().clauses("blorg") == [] and model.features(None) == model.features("")
 
 
+def test_threats_score_without_an_insult():
+    for model in (T.Model(), T.Model({"blorg ": 3.0})):
+        for text in ("I will kill you", "we burn your house", "il va tuer ton chien", "sie vernichten dich", "va a matar a usted"):
+            assert model.clauses(text) == [2.0], text
+        assert model.clauses("a plain line. I will kill you; nothing\nwe burn your house") == [2.0, 2.0]
+        assert model.clauses("they kill time") == model.clauses("he will not kill you") == model.clauses("the skill you have") == []
+    assert T.Model({"blorg ": 3.0}).clauses("a blorg came. I will kill you") == [3.0, 2.0]
+    assert T.Model(weights=[-3.0, 4.0, 0.0, 0.0, 0.0]).score("I will kill you") > 0.5
+
+
 def test_composition_is_the_product():
     following, weight = T.GRAMMAR
     assert len(following) == 2 * 5 * 5 * 4 * 2
