@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
-CANDIDATES, LEXICON = 20_000, 4_000
+HELD = 500_000  # entries a task counts before it hands the sums on
 PREFIXES = range(3, 9)
 EVIDENCE = 16.0  # nats of the tail bound: about 1e-7 by chance
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -198,44 +198,48 @@ def _sample(labels: DataFrame, label: str) -> tuple[DataFrame, int, int]:
     return drawn, sizes.get(1, 0), sizes.get(0, 0)
 
 
-def _counted(wanted: frozenset[str] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = entries(text)
-                counts.update(found if wanted is None else found & wanted)
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
+    def sums() -> pa.RecordBatch:
+        names = list(counts[0].keys() | counts[1].keys())
+        columns = [pa.array(names, pa.string()), *(pa.array([c[e] for e in names], pa.int64()) for c in reversed(counts))]
+        return pa.RecordBatch.from_arrays(columns, ["entry", "toxic", "clean"])
 
-def _counts(texts: DataFrame, wanted: frozenset[str] | None, least: int, most: int) -> dict[str, int]:
-    total = texts.mapInArrow(_counted(wanted), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    return dict(total.where(F.col("n") >= least).orderBy(F.col("n").desc(), "entry").limit(most).collect())
+    for batch in batches:
+        for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+            counts[y].update(entries(text))
+            if len(counts[0]) + len(counts[1]) >= HELD:
+                yield sums()
+                counts = (Counter(), Counter())
+    if counts[0] or counts[1]:
+        yield sums()
 
 
-def learn_lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Entries whose share of toxic documents is beyond chance, with log-odds."""
+def _judged(sample: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """entry, toxic, evidence, odds: entries whose share of toxic documents is
+    beyond chance, among all that enough toxic documents hold."""
     f = n_toxic / (n_toxic + n_clean)
-    found = {}
-    for entry, a in toxic.items():
-        b = clean.get(entry, 0)
-        p = a / (a + b)
-        if p <= f:
-            continue
-        evidence = (a + b) * (p * math.log(p / f) + ((1 - p) * math.log((1 - p) / (1 - f)) if p < 1 else 0.0))
-        odds = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-        if evidence >= EVIDENCE and odds >= 1.0:
-            found[entry] = (evidence, odds)
+    total = sample.select("y", "text").mapInArrow(_counted, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    a, b = F.col("toxic"), F.col("clean")
+    p = a / (a + b)
+    rest = F.when(b > 0, (1 - p) * F.log((1 - p) / (1 - f))).otherwise(0.0)
+    evidence = (a + b) * (p * F.log(p / f) + rest)
+    odds = F.log((a + 0.5) / (n_toxic + 1)) - F.log((b + 0.5) / (n_clean + 1))
+    enough = total.where(a >= max(5, n_toxic // 300)).where(p > f)
+    return enough.select("entry", "toxic", evidence.alias("evidence"), odds.alias("odds")).where((F.col("evidence") >= EVIDENCE) & (F.col("odds") >= 1.0))
+
+
+def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Log-odds of the entries beyond chance; only these reach the driver."""
+    found = {r["entry"]: r for r in _judged(sample, n_toxic, n_clean).collect()}
+    toxic = {e: r["toxic"] for e, r in found.items()}
     # a beginning that one longer entry explains goes: "tras" where it is all "trash"
     for entry in sorted(found, key=len, reverse=True):
         for n in PREFIXES:
             if n < len(entry) and entry[:n] in found and toxic[entry] >= 0.9 * toxic[entry[:n]]:
                 del found[entry[:n]]
-    best = sorted(found, key=lambda e: (-found[e][0], e))[:LEXICON]
-    return {e: min(5.0, found[e][1]) for e in best}
+    return {e: min(5.0, found[e]["odds"]) for e in sorted(found)}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
@@ -262,9 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     # at most TOXIC_ROWS + CLEAN_ROWS rows of two numbers
     sample = docs.select(docs["doc_id"].cast("long").alias("__id"), "text").join(F.broadcast(drawn), "__id")
     n_toxic, n_clean = min(all_toxic, TOXIC_ROWS), min(all_clean, CLEAN_ROWS)
-    toxic = _counts(sample.where("y = 1").select("text"), None, max(5, n_toxic // 300), CANDIDATES)
-    clean = _counts(sample.where("y = 0").select("text"), frozenset(toxic), 1, CANDIDATES)
-    model = Model(learn_lexicon(toxic, clean, n_toxic, n_clean))
+    model = Model(learn_lexicon(sample, n_toxic, n_clean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -73,6 +73,19 @@ def test_held_out(corpus):
     assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_rare_insults_are_learned_beside_many_frequent_words(spark):
+    pick = random.Random(3)
+    common = " ".join("".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(4_500))
+    assert len(T.entries(common)) > 20_000
+    docs, labels = [], []
+    for i in range(300):
+        toxic = i % 4 == 0
+        docs.append((i, common + " blorg" * (toxic and i % 16 == 0)))
+        labels.append((i, int(toxic)))
+    model = T.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {e.strip() for e in model.lexicon} & {"blor", "blorg"}
+
+
 def test_held_out_labels_are_not_read(spark, corpus):
     docs, labels = corpus
     flipped = labels.withColumn("toxic", T.F.when(T.fold(T.F.col("doc_id")) == 0, 1 - T.F.col("toxic")).otherwise(T.F.col("toxic")))
