@@ -1,7 +1,10 @@
 """Secret scan by fixed patterns and a randomness test battery, JVM side only.
 
-Base spans come from three patterns. The method adds spans of kind ``random``:
-strings of 20 or more encoding characters with a digit. For each, an encoding is
+Base spans come from three patterns. The method adds spans of kind ``random``.
+Candidates are all maximal strings of 20 or more characters of base64, base64url
+or base62: a token behind ``/``, ``+``, ``-`` or ``_`` is tested alone as well as
+with what it hangs on. Of reported strings that contain each other, the longest
+is given. For each, an encoding is
 inferred (hex, base32, base62, base64) and its randomness is tested: chi-squared
 uniformity over the alphabet (Wilson-Hilferty), a runs test about the alphabet's
 middle, and lag-1 serial correlation of symbol values; |z| must stay within
@@ -28,7 +31,10 @@ from ..session import materialize
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
+ENCODED = r"(?<![{0}])[{0}]{{20,}}={{0,2}}"
+RUN = ENCODED.format("A-Za-z0-9+/_-")
+#: within a run, what base64, base64url and the encodings without signs can cover
+PARTS = tuple(map(ENCODED.format, ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9")))
 KINDS = ("assign", "access", "hex", "random")
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: name, pattern, alphabet, chance that neighbours differ in class if random
@@ -68,6 +74,14 @@ def _normal(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x)
 
 
+def _candidates(text: Column) -> Column:
+    def parts(run: Column) -> Column:
+        found = (F.transform(_matches(run["s"], part), lambda m: F.struct((run["start"] + m["start"]).alias("start"), (run["start"] + m["end"]).alias("end"), m["s"].alias("s"))) for part in PARTS)
+        return F.array_distinct(F.concat(*found))
+
+    return F.flatten(F.transform(_matches(text, RUN), parts))
+
+
 def _encoded(c: Column) -> Column:
     s = F.regexp_replace(c["s"], r"=+\z", "")
 
@@ -133,7 +147,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
     base = F.sort_array(F.concat(of(0, long_enough), of(1, _matches(text, ACCESS)), of(2, _matches(text, HEX))))
-    tested = F.transform(F.transform(F.transform(F.filter(F.transform(_matches(text, CANDIDATE), _encoded), lambda c: c["alphabet"].isNotNull()), _symbols), _counts), _tested)
+    tested = F.transform(F.transform(F.transform(F.transform(_candidates(text), _encoded), _symbols), _counts), _tested)
     return docs.drop("base", "tested").withColumns({"base": base, "tested": tested})
 
 
@@ -152,12 +166,23 @@ def thresholds(scanned: DataFrame) -> list[int]:
     return [least.get(i) or BINS + 1 for i in range(len(STRATA) + 1)]
 
 
+def _outermost(reported: Column) -> Column:
+    """Spans of the strings that no other reported one contains."""
+    return F.aggregate(
+        F.sort_array(F.transform(reported, lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("back")))),
+        F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)"),
+        lambda kept, t: F.when(F.get(kept, F.size(kept) - 1)["end"] >= -t["back"], kept).otherwise(
+            F.concat(kept, F.array(F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), (-t["back"]).alias("end"))))
+        ),
+    )
+
+
 def with_spans(scanned: DataFrame, least: list[int]) -> DataFrame:
     """Adds ``spans``: base ones and, from ``tested``, the reported random ones,
     by start, then kind."""
     bounds = F.array(*map(F.lit, least))
     reported = F.filter("tested", lambda t: t["random"] & (t["bits"] >= F.get(bounds, t["stratum"])))
-    spans = F.sort_array(F.concat("base", F.transform(reported, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))))
+    spans = F.sort_array(F.concat("base", _outermost(reported)))
     return scanned.withColumn("spans", spans).drop("tested")
 
 

@@ -65,6 +65,24 @@ def test_random_strings_are_added(found):
     assert all(set(r["base"].split(",")) - {""} <= set(r["spans"].split(",")) for r in got)
 
 
+def token(i: int, signs: str, n: int) -> str:
+    return "".join(signs[b % len(signs)] for b in hashlib.sha512(f"{signs}{i}".encode()).digest()[:n])
+
+
+def test_tokens_behind_names_and_paths_are_tested(spark):
+    letters = S.UPPER + S.LOWER
+    before = ["https://x.io/reset-password/", "key_id/", "https://x.io/reset/", "user-data_", "see "]
+    cases = [(i, before[i % 5], token(i, letters + S.DIGITS, 24)) for i in range(300)] + [(i, "the ", token(i, letters, 40)) for i in range(300, 360)]
+    docs = spark.createDataFrame([(i, f"{b}{t} end of a-plain_sentence/with-many_words/in-it") for i, b, t in cases], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in S.find_secrets(docs).select("doc_id", S.written("spans").alias("spans")).collect()}
+    caught = {b: 0 for b in [*before, "the "]}
+    for i, b, t in cases:
+        spans = [tuple(map(int, x.split(":")[1:])) for x in found[i].split(",") if x]
+        assert len(spans) <= 2 and all(end <= len(b + t) for _, end in spans)
+        caught[b] += any(start <= len(b) and end == len(b + t) for start, end in spans)
+    assert min(caught.values()) >= 50, caught
+
+
 def test_redaction(spark, found):
     _, docs, _ = found
     out = {r["doc_id"]: r["text"] for r in S.redact(docs).collect()}
