@@ -1,9 +1,10 @@
 """Corpus-wide line deduplication that returns keep bitmaps, not text.
 
 Lines are hashed (128 bits) in one pass over the text. A pre-aggregation finds
-the keys held by enough documents; only their occurrences are then
-range-partitioned by (hash, document, position), so that a hot line is spread
-over many range partitions, and streamed in that order. What comes back is one
+the keys held by enough documents, and the largest of these, which keeps the
+line; only their occurrences are then range-partitioned by (hash, document,
+position), so that a hot line is spread over many range partitions. Which lines
+go is decided by the keeper, row by row, not by the order. What comes back is one
 zlib-compressed bitmap per document that loses lines; text moves once, when the
 bitmaps are applied.
 
@@ -50,8 +51,8 @@ def line_occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream rows ordered by (hash, document from the largest, position); all
-    but those of the first document of each hash lose their line."""
+    """Rows whose document is not the keeper of their hash lose their line; their
+    order does not matter."""
     for batch in batches:
         lost = pa.compute.not_equal(batch.column("__doc"), batch.column("keeper"))
         yield batch.select(["__doc", "__text_hash", "pos"]).filter(lost)
