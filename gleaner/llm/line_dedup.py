@@ -1,30 +1,34 @@
 """Corpus-wide line deduplication that returns keep bitmaps, not text.
 
-Lines are hashed (128 bits) in one pass over the text. A pre-aggregation finds
-the keys held by enough documents, and the largest of these, which keeps the
-line; only their occurrences are then range-partitioned by (hash, document,
-position), so that a hot line is spread over many range partitions. Which lines
-go is decided by the keeper, row by row, not by the order. What comes back is one
-zlib-compressed bitmap per document that loses lines; text moves once, when the
-bitmaps are applied.
+Lines are hashed (128 bits) in one pass over the text. A pre-aggregated count
+finds the keys held by enough documents; only their occurrences go on. These are
+range-partitioned by (hash, document descending, position) and sorted, and each
+partition is streamed once: the document that comes first for a hash keeps its
+lines, later documents lose theirs. A hot line is spread over many ranges; for
+the first and last hash of every range a small second pass over the lines kept
+there (at most two hashes a range) finds the document that comes first of all.
+What comes back is one zlib-compressed bitmap per document that loses lines;
+text moves once, when the bitmaps are applied.
 
 Defined cases: null or empty text is one empty line; a null ``doc_id`` counts as
 one document id below all others; repeated rows with the same id and text share
 a bitmap; rows with the same id and different texts count as one document but
-have bitmaps of their own; other columns pass through ``apply_bitmaps``.
+have bitmaps of their own; an empty table gives no bitmaps; very long texts are
+split into lines on the JVM and cut in Python alone in their slice; other columns,
+whatever their names, pass through ``apply_bitmaps``.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
+from .common import Batches, lean, slices
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,12 +54,46 @@ def line_occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def _losers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose document is not the keeper of their hash lose their line; their
-    order does not matter."""
+OCCURRENCE = "__doc long, __text_hash long, pos int, h1 long, h2 long"
+
+
+def _first_occurrences(batches: Batches) -> Batches:
+    """Over rows sorted by hash and document: those that lose their line. Lines that
+    the first document of this partition's first or last hash keeps come marked as
+    ``edge``: that hash may have begun in another partition."""
+    names = ["__doc", "__text_hash", "pos", "h1", "h2"]
+    current: tuple[int, int] | None = None
+    keeper = 0
+    held: list[pa.RecordBatch] = []  # lines the current hash's first document keeps
+    leading = True  # the current hash is the partition's first
+
+    def marked(batch: pa.RecordBatch, edge: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, edge))], [*names, "edge"])
+
     for batch in batches:
-        lost = pa.compute.not_equal(batch.column("__doc"), batch.column("keeper"))
-        yield batch.select(["__doc", "__text_hash", "pos"]).filter(lost)
+        if not batch.num_rows:
+            continue
+        batch = batch.select(names)
+        doc, h1, h2 = (batch.column(c).to_numpy() for c in ("__doc", "h1", "h2"))
+        new = np.ones(len(doc), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        new[0] = (h1[0], h2[0]) != current
+        group = np.cumsum(new) - 1  # -1: goes on from the batch before
+        starts = np.flatnonzero(new)
+        lost = doc != np.append(doc[starts], keeper)[group]
+        if lost.any():
+            yield marked(batch.filter(pa.array(lost)), False)
+        if len(starts):
+            held.append(batch.filter(pa.array(~lost & (group < 0))))
+            if leading and current is not None:
+                yield from (marked(x, True) for x in held if x.num_rows)
+            elif leading and len(starts) > 1:  # the first hash ends in this batch
+                yield marked(batch.filter(pa.array(~lost & (group == 0))), True)
+            leading = current is None and len(starts) == 1
+            held, keeper = [], int(doc[starts[-1]])
+        held.append(batch.filter(pa.array(~lost & (group == group[-1]))))
+        current = (h1[-1], h2[-1])
+    yield from (marked(x, True) for x in held if x.num_rows)
 
 
 def pack_bits(size: int, dropped: list[int]) -> bytes:
@@ -65,8 +103,8 @@ def pack_bits(size: int, dropped: list[int]) -> bytes:
     return zlib.compress(bytes(bits))
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _bitmaps(batches: Batches) -> Batches:
+    for batch in slices(batches):
         packed = [pack_bits(max(p) + 1, p) for p in batch.column("dropped").to_pylist()]
         # lines beyond the last dropped one are not in the bitmap: they are kept
         yield pa.RecordBatch.from_arrays([batch.column("__doc"), batch.column("__text_hash"), pa.array(packed, pa.binary())], ["__doc", "__text_hash", "bitmap"])
@@ -80,27 +118,25 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     spark = docs.sparkSession
     ship(spark)
     seen = materialize(line_occurrences(docs, min_chars), "lines")
-    counted = seen.groupBy("h1", "h2").agg(F.count_distinct("__doc").alias("n_docs"), F.max("__doc").alias("keeper"))
+    counted = seen.groupBy("h1", "h2").agg(F.count_distinct("__doc").alias("n_docs"))
     # written out, so that the join below reads both sides from plain exchanges, which can be split where a line is hot
-    frequent = materialize(counted.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "frequent")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frequent = materialize(counted.where(F.col("n_docs") >= min_docs).select("h1", "h2"), "frequent")
     hot = materialize(seen.join(frequent, ["h1", "h2"]), "hot-lines")
-    lost = (
-        hot.repartitionByRange(n, F.col("h1"), F.col("h2"), F.col("__doc").desc(), F.col("pos"))
-        .sortWithinPartitions("h1", "h2", F.col("__doc").desc(), "pos")
-        .mapInArrow(_losers, "__doc long, __text_hash long, pos int")
-    )
+    order = [F.col("h1"), F.col("h2"), F.col("__doc").desc(), F.col("pos")]
+    streamed = hot.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(_first_occurrences), f"{OCCURRENCE}, edge boolean")
+    streamed = materialize(streamed, "occurrences")
+    edges = streamed.where("edge")
+    first = edges.groupBy("h1", "h2").agg(F.max("__doc").alias("first"))
+    late = edges.join(first, ["h1", "h2"]).where("__doc <> first")
+    place = ["__doc", "__text_hash", "pos"]
+    lost = streamed.where("not edge").select(*place).unionAll(late.select(*place))
     return (
         lost.groupBy("__doc", "__text_hash")
         .agg(F.collect_set("pos").alias("dropped"))
-        .mapInArrow(_bitmaps, "__doc long, __text_hash long, bitmap binary")
+        .mapInArrow(lean(_bitmaps), "__doc long, __text_hash long, bitmap binary")
     )
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    return docs.select("*", *_row_key(docs)).join(bitmaps, ["__doc", "__text_hash"], "left").drop("__doc", "__text_hash")
-
-
 def _kept(text: str | None, bitmap: bytes | None) -> tuple[list[str], list[str]]:
     lines = (text or "").split("\n")
     if bitmap is None:
@@ -114,20 +150,24 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``text`` cut down to its kept lines, plus ``n_lines`` and
     ``n_dropped``. Columns of these names in the input are replaced."""
     ship(docs.sparkSession)
-    base = docs.drop("n_lines", "n_dropped", "bitmap")
-    joined = with_bitmaps(base, bitmaps)
+    base = docs.drop("n_lines", "n_dropped")
     names = base.columns
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    text = f"c{names.index('text')}"
+    # columns go by their place, so that none can clash with the join's own
+    renamed = base.select(*_row_key(base), *(base[c].alias(f"c{i}") for i, c in enumerate(names)))
+    joined = renamed.join(bitmaps, ["__doc", "__text_hash"], "left").drop("__doc", "__text_hash")
+    own = [f"c{i}" for i in range(len(names))]
+
+    def cut(batches: Batches) -> Batches:
+        for batch in slices(batches):
             texts, counts, gone = [], [], []
-            for text, bitmap in zip(batch.column("text").to_pylist(), batch.column("bitmap").to_pylist()):
-                lines, kept = _kept(text, bitmap)
-                texts.append(text if bitmap is None else "\n".join(kept))
+            for t, bitmap in zip(batch.column(text).to_pylist(), batch.column("bitmap").to_pylist()):
+                lines, kept = _kept(t, bitmap)
+                texts.append(t if bitmap is None else "\n".join(kept))
                 counts.append(len(lines))
                 gone.append(len(lines) - len(kept))
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_dropped"])
+            columns = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in own]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], [*own, "n_lines", "n_dropped"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return joined.mapInArrow(cut, f"{kinds}, n_lines long, n_dropped long")
+    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(own, base.schema.fields))
+    return joined.mapInArrow(lean(cut), f"{kinds}, n_lines long, n_dropped long").toDF(*names, "n_lines", "n_dropped")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+import pytest
 from gleaner.llm import host_rules, line_dedup
 
 SCHEMA = "doc_id long, text string, source string, n_lines int"
@@ -47,6 +50,38 @@ def test_line_dedup(spark):
     assert got == sorted(want)
 
 
+def test_columns_with_the_names_of_keys_pass(spark):
+    docs = spark.createDataFrame([(r[0], r[1], "a", b"b") for r in ROWS], "doc_id long, text string, __doc string, bitmap binary")
+    cut = line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs))
+    assert cut.columns == [*docs.columns, "n_lines", "n_dropped"] and {(r["__doc"], r["bitmap"]) for r in cut.collect()} == {("a", b"b")}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_stream_decides_first_occurrences(seed):
+    """Sorted rows cut into any partitions and batches: the streamed losers and the
+    edges leave each hash's largest document, and nothing else decides."""
+    pick = random.Random(seed)
+    rows = sorted({(h, -pick.randint(0, 6), p) for h in range(pick.randint(1, 8)) for p in range(pick.randint(1, 12))})
+    table = [(-d, 0, p, h, h) for h, d, p in rows]
+    cuts = sorted(pick.choices(range(len(table) + 1), k=pick.randint(0, 5)))
+    out = []
+    for a, b in zip([0, *cuts], [*cuts, len(table)]):
+        batches, at = [], a
+        while at < b:
+            n = min(b - at, pick.randint(1, 5))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*table[at : at + n]), kinds)], ["__doc", "__text_hash", "pos", "h1", "h2"]))
+            at += n
+        out += [r for x in line_dedup._first_occurrences(iter(batches)) for r in x.to_pylist()]
+    first = {}
+    for r in out:
+        if r["edge"]:
+            first[r["h1"]] = max(first.get(r["h1"], -1), r["__doc"])
+    lost = {(r["h1"], r["__doc"], r["pos"]) for r in out if not r["edge"] or r["__doc"] != first[r["h1"]]}
+    keeper = {h: max(-d for g, d, _ in rows if g == h) for h, _, _ in rows}
+    assert lost == {(h, -d, p) for h, d, p in rows if -d != keeper[h]}
+
+
 def test_line_dedup_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert line_dedup.apply_bitmaps(docs, line_dedup.line_bitmaps(docs)).count() == 0

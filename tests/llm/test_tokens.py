@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
-from gleaner.llm import packing, tokens
+from gleaner.llm import packing, queries, tokens
 from gleaner.llm.bpe import Encoder
 
 P = pytest.importorskip("public_tokenizers")
@@ -73,13 +74,74 @@ def check_packing(rows, texts: dict, window: int, library) -> int:
 
 def test_packing(spark, library):
     pick = random.Random(5)
-    texts = {i: " ".join(pick.choices(["the", "of", "token", "zqx"], k=pick.randint(0, 300))) for i in range(400)} | {1000: None, 1001: "word " * 20_000}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
-    assert check_packing(packing.pack_documents(docs, PATH, window=256).collect(), texts, 256, library) <= 2 * 256
-    assert check_packing(packing.pack_documents(docs, PATH, shard_docs=60).collect(), texts, 2048, library) <= 14 * 2048
+    texts = {i: " ".join(pick.choices(["the", "of", "token", "zqx"], k=pick.randint(0, 300))) for i in range(400)} | {1000: None, 1001: "word " * 20_000, 1002: "", None: "no id"}
+    docs = spark.createDataFrame([(i, t, i) for i, t in texts.items()], "doc_id long, text string, part long").repartition(2)
+    # only the last sequence of the table is short, whatever the window
+    assert check_packing(packing.pack_documents(docs, PATH, window=256).collect(), texts, 256, library) <= 256
+    assert check_packing(packing.pack_documents(docs, PATH).collect(), texts, 2048, library) <= 2048
     assert packing.pack_documents(docs.limit(0), PATH).count() == 0
 
 
+@pytest.mark.parametrize("parts", [2, 64])
+def test_fill_does_not_depend_on_partitions(spark, parts):
+    pick = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(pick.choices(["the", "of", "token"], k=pick.randint(0, 1500)))) for i in range(400)], "doc_id long, text string").repartition(parts)
+    rows = packing.pack_documents(docs, PATH).collect()
+    assert sum(r["length"] for r in rows) >= 0.98 * 2048 * len({r["sequence_id"] for r in rows})
+
+
+def test_packing_of_repeated_and_equal_rows(spark, library):
+    rows = [(7, "the same text " * 90)] * 30 + [(None, "the same text " * 90)] * 3
+    pieces = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH, window=256).collect()
+    ids = np.array([*library.encode(rows[0][1], add_special_tokens=False).ids, 1], "<u4")
+    sequences = defaultdict(list)
+    for r in pieces:
+        assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(r["length"] for r in pieces) == 33 * len(ids)
+    for own in sequences.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for o2, n in own if o2 < o) for o, _ in sorted(own)]
+
+
+def test_combinations_decide_the_plan():
+    histogram = {100: 50, 156: 50, 56: 20, 200: 20, 13: 5}
+    made = packing.plan(histogram, 256)
+    # complementary lengths meet in one sequence at the offsets that the combination says
+    assert made.places(156, 0) == [(0, 156, made.slots[156][0][1], 0)] and made.places(100, 0)[0][2:] == (made.slots[100][0][1], 156)
+    assert made.line[156][0] == 50 and made.line[100][0] == 50 and made.line[200][0] == 20
+    assert made.line[13] == (0, 0)
+
+
+def digests(texts, library):
+    out = []
+    for i, t in texts:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        out.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_round_trip_query(spark, library, tmp_path):
+    rows = [(i, t, i) for i, t in enumerate(samples(300))] + [(5, None, 0), (5, "", 0), (None, "x" * 9000 + "<|endoftext|> y", 1), (6, "a b", 2), (6, "a b", 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_tokens long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_bpe(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == digests([r[:2] for r in rows], library)
+
+
+def test_words_that_share_a_hash_are_told_apart(library):
+    own = Encoder(PATH)
+    own._find = lambda hashes: np.where(own.slot_word[:1] >= 0, 0, -1).repeat(len(hashes)) if own.n_words else np.full(len(hashes), -1)
+    own._hashes = lambda which, codes, starts, ends: np.zeros(len(starts), np.uint64) if which == 0 else Encoder._hashes(own, which, codes, starts, ends)
+    for text in ("alpha beta gamma", "beta delta alpha", "delta"):
+        assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_table_begins_anew_within_a_word(library):
+    own = Encoder(PATH)
+    own.automaton.MEMO = 20
+    for text in ("internationalization" * 40, "x" * 3000, "Donaudampfschifffahrt" * 9):
+        assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_least_squares_matches_histogram():
     wanted = np.zeros(11, np.int64)
     wanted[[3, 7, 5, 2]] = [40, 40, 20, 10]
