@@ -3,27 +3,29 @@
 1. One pass over the texts gives each document a 128-bit key of its word
    sequence and a signature of K MinHash values over word 5-grams. Equal keys
    are copies: one node stands for them, so copies are never paired.
-2. Nodes that share a band of the signature get an edge to the band's least
-   node: linear in the rows, whatever the size of a band. Connected components
-   of these edges are supersets of the groups sought.
-3. Nodes of components get their n-gram sets and are dealt into blocks of bounded
-   size; a task compares two blocks of one component. MinHash values are compared
-   STEP at a time: under a uniform prior the similarity given m of n matches is
-   Beta(m + 1, n - m + 1), and a pair goes once P(similarity >= threshold) falls
-   below ``TOLERANCE``. The rest is verified exactly on the n-gram sets.
+2. Nodes that share a band of the signature are candidates. Only buckets of two or
+   more nodes go on; large ones are dealt into blocks of bounded size, and a task
+   compares two blocks of one bucket. A pair counts in the first band it shares, so
+   it is judged once, and the work follows the buckets, not what they connect to.
+3. MinHash values are compared STEP at a time: under a uniform prior the similarity
+   given m of n matches is Beta(m + 1, n - m + 1), and a pair goes once
+   P(similarity >= threshold) falls below ``TOLERANCE``. This first runs on
+   signatures alone; n-gram sets are made only for nodes with a surviving pair, and
+   sent only to the buckets where it survived, where the rest is verified exactly.
 4. A task returns, per node, its count of links and the least node it reaches
    there, never pairs; components of these give the classes.
 
 Defined cases: words are runs of anything but U+0020 and U+0009-U+000D; a text of
 1-4 words has one n-gram; texts without words (null, empty) are copies of each
-other; rows with a null or repeated doc_id take part by their text; a class id is
-the class's least doc_id (null if all are); other columns play no part.
+other; rows with a null or repeated doc_id take part by their text; very long texts
+are hashed a segment at a time; a class id is the class's least doc_id (null if all
+are); an empty table gives no rows; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
+from .common import Batches, lean, slices
 from .components import components
 
 NGRAM = 5
@@ -149,16 +152,24 @@ def describe(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarr
     return [k.tobytes() for k in keys], n, values
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            keys, n, values = describe(batch.column("text").to_pylist())
-            signatures = pa.array([v.tobytes() for v in values], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), signatures],
-                ["doc_id", "text_hash", "node", "n_words", "signature"],
-            )
+def band_codes(values: np.ndarray) -> np.ndarray:
+    """A code for each band of each signature: nodes share a band if codes are equal."""
+    pairs = np.ascontiguousarray(values).view(_U).reshape(len(values), K // BAND, BAND // 2)
+    code = np.repeat(np.arange(1, K // BAND + 1, dtype=_U)[None], len(values), axis=0)
+    for k in range(BAND // 2):
+        code = mix(code * _MULT + pairs[:, :, k])
+    return code
+
+
+def _described(batches: Batches) -> Batches:
+    for batch in slices(batches):
+        keys, n, values = describe(batch.column("text").to_pylist())
+        signatures = pa.array([v.tobytes() for v in values], pa.binary())
+        bands = pa.array(band_codes(values).view(np.int64).tolist(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), signatures, bands],
+            ["doc_id", "text_hash", "node", "n_words", "signature", "bands"],
+        )
 
 
 def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[int]:
@@ -176,21 +187,22 @@ def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[int]:
     return out
 
 
-def surviving(left: np.ndarray, right: np.ndarray | None, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (one of each side, or i < j within ``left``) that are never pruned."""
-    other = left if right is None else right
-    matches = np.zeros((len(left), len(other)), np.int16)
-    for k in range(STEP):
-        matches += left[:, k, None] == other[None, :, k]
-    alive = matches >= least[0]
-    if right is None:
-        alive &= np.triu(np.ones_like(alive), 1)
-    i, j = np.nonzero(alive)
-    m = matches[i, j]
-    for step in range(1, K // STEP):
+def surviving(values: np.ndarray, side: np.ndarray | None, band: int, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes (within a block, or one of each of two, as ``side`` says) whose
+    first shared band is ``band`` and that are never pruned."""
+    if side is None:
+        i, j = np.triu_indices(len(values), 1)
+    else:
+        a, b = np.flatnonzero(~side), np.flatnonzero(side)
+        i, j = np.repeat(a, len(b)), np.tile(b, len(a))
+    codes = band_codes(values)
+    first = (codes[i, band] == codes[j, band]) & ~(codes[i, :band] == codes[j, :band]).any(axis=1)
+    i, j = i[first], j[first]
+    m = np.zeros(len(i), np.int64)
+    for step, enough in enumerate(least):
         span = slice(step * STEP, (step + 1) * STEP)
-        m = m + (left[i, span] == other[j, span]).sum(axis=1)
-        go = m >= least[step]
+        m = m + (values[i, span] == values[j, span]).sum(axis=1)
+        go = m >= enough
         i, j, m = i[go], j[go], m[go]
     return i, j
 
@@ -218,62 +230,69 @@ def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: fl
     return common >= threshold * (size[i] + size[j] - common) - 1e-9
 
 
-def _links(nodes: list[bytes], blocks: list[int], signatures: list[bytes], sets: list[bytes], threshold: float, least: list[int]) -> list[tuple[bytes, int, bytes]]:
-    """node, links found here, least node reached by them."""
-    values = np.array([np.frombuffer(s, np.uint32) for s in signatures])
-    owned = [np.frombuffer(s, _U) for s in sets]
-    side = np.array(blocks)
-    if side.min() == side.max():
-        i, j = surviving(values, None, least)
-    else:
-        a, b = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-        i, j = surviving(values[a], values[b], least)
-        i, j = a[i], b[j]
-    good = verified(owned, i, j, threshold)
-    i, j = i[good], j[good]
-    links = np.bincount(i, minlength=len(nodes)) + np.bincount(j, minlength=len(nodes))
-    order = np.array(sorted(range(len(nodes)), key=nodes.__getitem__))
-    label = np.empty(len(nodes), np.int64)
-    label[order] = np.arange(len(nodes))
-    while True:
-        before = label.copy()
-        np.minimum.at(label, i, label[j])
-        np.minimum.at(label, j, label[i])
-        if (before == label).all():
-            break
-    return [(nodes[x], int(links[x]), nodes[order[label[x]]]) for x in np.flatnonzero(links)]
-
-
-def _compared(threshold: float):
-    least = least_matches(threshold)
+def _paired(group: dict[str, list], least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving pairs of one block, or between two."""
+    values = np.array([np.frombuffer(s, np.uint32) for s in group["signature"]])
+    lo, hi = group["lo"][0], group["hi"][0]
+    return surviving(values, None if lo == hi else np.array(group["block"]) == hi, group["band"][0], least)
+
+
+def _survivors(least: list[int]) -> Callable[[dict[str, list]], list[tuple]]:
+    def judge(group: dict[str, list]) -> list[tuple]:
+        """(node, band, code, blocks, block) of the nodes with a surviving pair."""
+        i, j = _paired(group, least)
+        return [tuple(group[c][x] for c in ("node", "band", "code", "blocks", "block")) for x in np.union1d(i, j)]
+
+    return judge
+
+
+def _links(least: list[int], threshold: float) -> Callable[[dict[str, list]], list[tuple]]:
+    def judge(group: dict[str, list]) -> list[tuple]:
+        """(node, links found here, least node reached by them)."""
+        nodes = group["node"]
+        i, j = _paired(group, least)
+        good = verified([np.frombuffer(s, _U) for s in group["grams"]], i, j, threshold)
+        i, j = i[good], j[good]
+        links = np.bincount(i, minlength=len(nodes)) + np.bincount(j, minlength=len(nodes))
+        order = np.array(sorted(range(len(nodes)), key=nodes.__getitem__))
+        label = np.empty(len(nodes), np.int64)
+        label[order] = np.arange(len(nodes))
+        while True:
+            before = label.copy()
+            np.minimum.at(label, i, label[j])
+            np.minimum.at(label, j, label[i])
+            if (before == label).all():
+                break
+        return [(nodes[x], int(links[x]), nodes[order[label[x]]]) for x in np.flatnonzero(links)]
+
+    return judge
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (root, lo, hi): one group after another."""
-        group: list[list] = [[], [], [], []]
-        current = None
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            if len(group[0]) > 1:
-                found = _links(*group, threshold, least)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.binary(), pa.int64(), pa.binary()))], ["node", "links", "peer"])
-
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("root", "lo", "hi"))))
-            columns = [batch.column(c) for c in ("node", "block", "signature", "grams")]
-            for x, key in enumerate(keys):
+
+def _by_group(judge: Callable[[dict[str, list]], list[tuple]], kinds: dict[str, pa.DataType]) -> Callable[[Batches], Batches]:
+    """``judge`` for each group of rows, which come sorted by (code, lo, hi)."""
+
+    def run(batches: Batches) -> Batches:
+        current, group = None, {}
+
+        def emit() -> Batches:
+            if current is not None and len(group["node"]) > 1 and (found := judge(group)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds.values())], list(kinds))
+
+        for batch in slices(batches):
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            for x, key in enumerate(zip(columns["code"], columns["lo"], columns["hi"])):
                 if key != current:
                     yield from emit()
-                    group, current = [[], [], [], []], key
-                for held, c in zip(group, columns):
-                    held.append(c[x].as_py())
+                    current, group = key, {c: [] for c in columns}
+                for c, values in columns.items():
+                    group[c].append(values[x])
         yield from emit()
 
     return run
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _with_sets(batches: Batches) -> Batches:
+    for batch in slices(batches):
         sets = [ngram_set(t).tobytes() for t in batch.column("text").to_pylist()]
         keep = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sets, pa.binary())], [*keep, "grams"])
@@ -283,37 +302,49 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_hash"))
 
 
+SPOT = "struct<band: int, code: bigint, blocks: int, block: int>"
+
+
+def _dealt(nodes: DataFrame, judge: Callable[[dict[str, list]], list[tuple]], kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """``judge`` over all pairs of blocks of all buckets that ``spots`` names."""
+    spots = nodes.select("*", F.explode("spots").alias("s")).drop("spots").select("*", "s.*").drop("s")
+    pairs = spots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).drop("other")
+    return pairs.repartition("code", "lo", "hi").sortWithinPartitions("code", "lo", "hi").mapInArrow(lean(_by_group(judge, kinds)), schema)
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """node and spots: the buckets of two or more nodes that it is in, with their
+    number of blocks and its own block."""
+    bands = nodes.select("node", "n_words", F.posexplode("bands").alias("band", "code"))
+    shared = bands.groupBy("code").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    shared = materialize(shared.where("n > 1").select("code", "blocks"), "bands")
+    spot = F.struct("band", "code", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    return bands.join(shared, "code").groupBy("node").agg(F.collect_list(spot).cast(f"array<{SPOT}>").alias("spots"))
+
+
 def membership(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, text_hash, class (key) and n_links (other texts within the
     threshold), a row for each row of ``docs``."""
     ship(docs.sparkSession)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = least_matches(threshold)
     own = _own(docs)
-    described = materialize(own.mapInArrow(_described, "doc_id long, text_hash long, node binary, n_words long, signature binary"), "described")
+    described = materialize(own.mapInArrow(lean(_described), "doc_id long, text_hash long, node binary, n_words long, signature binary, bands array<long>"), "described")
     # one row a text: copies go before anything is paired
     nodes = materialize(
-        described.where("n_words > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("place"), F.any_value("n_words").alias("n_words"), F.any_value("signature").alias("signature")),
+        described.where("n_words > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("place"), F.any_value("n_words").alias("n_words"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")),
         "nodes",
     )
-    bands = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(K // BAND - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * (4 * BAND) + 1, F.lit(4 * BAND))))).alias("band"))
-    shared = materialize(bands.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre"), "bands")
-    rough = components(bands.join(shared, "band").select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    member = rough.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(rough.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    placed = materialize(member.join(nodes, "node"), "members")
-    sizes = materialize(placed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks")), "sizes")
-    wanted = placed.join(sizes, "root").select(
-        F.col("place.doc_id").alias("at"), F.col("place.text_hash").alias("hash"), "node", "root", "signature", "blocks",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
-    )
+    signed = nodes.select("node", "signature", "place")
+    rough = materialize(buckets(nodes).join(signed.drop("place"), "node"), "buckets")
+    kinds = {"node": pa.binary(), "band": pa.int32(), "code": pa.int64(), "blocks": pa.int32(), "block": pa.int32()}
+    survivors = _dealt(rough, _survivors(least), kinds, "node binary, band int, code long, blocks int, block int")
+    spots = survivors.groupBy("node").agg(F.collect_set(F.struct("band", "code", "blocks", "block")).cast(f"array<{SPOT}>").alias("spots"))
+    wanted = materialize(spots.join(signed, "node"), "survivors").select(F.col("place.doc_id").alias("at"), F.col("place.text_hash").alias("hash"), "node", "signature", "spots")
     found = own.join(wanted, own["text_hash"].eqNullSafe(wanted["hash"]) & own["doc_id"].eqNullSafe(wanted["at"]))
     # rows that repeat an id and its text name one node several times: one is enough
-    sets = found.select("node", "root", "signature", "blocks", "block", "text").dropDuplicates(["node"]).mapInArrow(_with_sets, "node binary, root binary, signature binary, blocks int, block int, grams binary")
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "signature", "grams"
-    )
-    linked = materialize(
-        pairs.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(_compared(threshold), "node binary, links long, peer binary"), "links"
-    )
+    sets = found.select("node", "signature", "spots", "text").dropDuplicates(["node"]).mapInArrow(lean(_with_sets), f"node binary, signature binary, spots array<{SPOT}>, grams binary")
+    kinds = {"node": pa.binary(), "links": pa.int64(), "peer": pa.binary()}
+    linked = materialize(_dealt(materialize(sets, "sets"), _links(least, threshold), kinds, "node binary, links long, peer binary"), "links")
     roots = components(linked.select(F.col("node").alias("a"), F.col("peer").alias("b"))).select(F.col("a").alias("member"), F.col("b").alias("class"))
     counts = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
     known = materialize(counts.join(roots, counts["node"] == roots["member"], "left").select(F.col("node").alias("linked"), "n_links", F.coalesce("class", "node").alias("class")), "classes")
@@ -333,8 +364,10 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The row with the least doc_id of each class, with all its columns."""
     found = membership(docs, threshold)
-    kept = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("hash"))
     kept = materialize(kept, "kept")
-    joined = own.join(kept, own["__own"].eqNullSafe(kept["__hash"]) & own["doc_id"].cast("long").eqNullSafe(kept["__id"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    names = docs.columns
+    # columns go by their place, so that none can clash with the keys
+    own = docs.select(docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("own_hash"), *(docs[c].alias(f"c{i}") for i, c in enumerate(names)))
+    joined = own.join(kept, own["own_hash"].eqNullSafe(kept["hash"]) & own["own_id"].eqNullSafe(kept["id"]), "left_semi")
+    return joined.dropDuplicates(["own_id", "own_hash"]).drop("own_id", "own_hash").toDF(*names)

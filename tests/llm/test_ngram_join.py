@@ -8,6 +8,8 @@ import re
 import numpy as np
 import pytest
 from gleaner.llm import ngram_join as N
+from gleaner.llm import queries
+from gleaner.llm.components import components
 
 SCHEMA = "doc_id long, text string, class string"
 
@@ -97,12 +99,50 @@ def test_pruning_keeps_similar_pairs():
     many = np.repeat(base, 500, axis=0)
     change = random_.random(many.shape) > 0.85
     many[change] = random_.integers(0, 1 << 32, change.sum())
-    i, _ = N.surviving(base, many, least)
-    assert len(i) >= 499
-    i, _ = N.surviving(base, random_.integers(0, 1 << 32, (500, N.K)).astype(np.uint32), least)
+    pairs = [N.surviving(np.concatenate([base, many]), np.arange(501) > 0, band, least) for band in range(N.K // N.BAND)]
+    assert sum(len(i) for i, _ in pairs) >= 499  # each pair in the first band it shares
+    assert len({j for _, found in pairs for j in found.tolist()}) == sum(len(i) for i, _ in pairs)
+    far = random_.integers(0, 1 << 32, (500, N.K)).astype(np.uint32)
+    far[:, : N.BAND] = base[:, : N.BAND]  # they share a band by chance
+    i, _ = N.surviving(np.concatenate([base, far]), np.arange(501) > 0, 0, least)
     assert len(i) == 0
 
 
+def test_candidates_of_a_chain_grow_with_its_length(spark):
+    """Texts that each share most words with the next: buckets stay as small as in a
+    short chain, although all texts hang together."""
+    pick = random.Random(2)
+    words = [pick.choice("abcdefgh") + str(pick.randrange(10**6)) for _ in range(20 * 700 + 100)]
+    pairs = {}
+    for n in (150, 600):
+        docs = spark.createDataFrame([(i, " ".join(words[20 * i : 20 * i + 100])) for i in range(n)], "doc_id long, text string")
+        described = N._own(docs).mapInArrow(N.lean(N._described), "doc_id long, text_hash long, node binary, n_words long, signature binary, bands array<long>")
+        sizes = N.buckets(described).selectExpr("explode(spots) s").groupBy("s.code").count().collect()
+        pairs[n] = sum(r["count"] * (r["count"] - 1) // 2 for r in sizes)
+    assert pairs[600] < 6 * max(pairs[150], 50)
+    assert {r["n_links"] for r in N.classes(docs).collect()} == {0}
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame(corpus(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, queries.op1_ngram_join(spark, str(tmp_path)).collect()), key=repr) == brute(corpus())
+
+
+def test_blocks_of_a_large_bucket_meet(docs, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_NODES", 50)
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in N.classes(docs).collect()), key=repr) == brute(corpus())
+
+
+def test_components_of_chains_hubs_and_pairs(spark):
+    pick = random.Random(6)
+    edges = [(f"c{i:04}", f"c{i + 1:04}") for i in range(300)] + [("hub", f"h{i}") for i in range(500)] + [(f"p{i}", f"q{i}") for i in range(50)] + [("s", "s"), ("c0001", "c0000")]
+    pick.shuffle(edges)
+    got = {r["a"]: r["b"] for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    want = {f"c{i:04}": "c0000" for i in range(1, 301)} | {x: "h0" for x in ["hub", *(f"h{i}" for i in range(1, 500))]} | {f"q{i}": f"p{i}" for i in range(50)}
+    assert got == want
+    assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_both_ways_of_verifying_agree():
     random_ = np.random.default_rng(5)
     sets = [np.unique(random_.integers(0, 60, random_.integers(80, 300)).astype(np.uint64)) for _ in range(40)]
