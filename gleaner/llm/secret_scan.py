@@ -4,23 +4,29 @@ Base spans come from three patterns. The method adds spans of kind ``random``.
 Candidates are all maximal strings of 20 or more characters of base64, base64url
 or base62: a token behind ``/``, ``+``, ``-`` or ``_`` is tested alone as well as
 with what it hangs on. Of reported strings that contain each other, the longest
-is given. For each, an encoding is
-inferred (hex, base32, base62, base64) and its randomness is tested: chi-squared
-uniformity over the alphabet (Wilson-Hilferty), a runs test about the alphabet's
-middle, and lag-1 serial correlation of symbol values; |z| must stay within
-``Z``. Strings of ordinary text change character class rarely; the log-likelihood
-ratio of the class changes between the encoding and text gives, by Markov's
-inequality, a p-value of 2**-bits under "text". False discoveries are controlled
-at rate ``FDR`` by Benjamini-Hochberg within length strata, over all strings of
-the corpus: the bits of a stratum fit in a histogram of at most 201 bins, so the
-step-up threshold needs no sort and no collected rows.
+is given. For each, an encoding is inferred (hex, base32, base62, base64) and three
+statistics are taken: chi-squared uniformity over the alphabet (Wilson-Hilferty), a
+runs test about the alphabet's middle, and lag-1 serial correlation of symbol
+values. Each is standard normal if the string is random; for text its variance is
+taken as 1 + n * ``TAU`` ** 2, as the shift grows with the root of the length n. With
+the changes of character class, rare in text but after capitals, that gives a log-likelihood ratio of
+"random in this encoding" to "text", as if the four were independent; by Markov's
+inequality 2**-ratio bounds the p-value under "text". So each test moves the
+p-value, and none is a gate. False discoveries are controlled at rate ``FDR`` by
+Benjamini-Hochberg within length strata, over all strings of the corpus: the bits
+of a stratum fit in a histogram of at most 201 bins, so the step-up threshold
+needs no sort and no collected rows.
 
 Offsets are code points, ends exclusive. Null text is empty. Rows are handled
-one by one, so repeats and ties need no care; an empty table gives no rows.
+one by one, so repeats, ties and null ids need no care; the work is linear in a
+very long text but for a fold over its matches, in blocks; other columns play no
+part, whatever their names (``scan`` replaces ``base`` and ``tested``); an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,32 +52,41 @@ ENCODINGS = (
     ("base64", r"^[A-Za-z0-9+/]+\z", UPPER + LOWER + DIGITS + "+/", 0.644),
     ("base64url", r"^[A-Za-z0-9_-]+\z", UPPER + LOWER + DIGITS + "_-", 0.644),
 )
-TEXT_CHANGE = 0.1
-Z = 3.3
+TEXT_CHANGE, CAPITAL_CHANGE = 0.1, 0.5  # chance that the class changes in text; after a capital of mixed case
+TAU = 0.3
 FDR = 0.01
 STRATA = (32, 48, 96)
 BINS = 200
 
 
+SPANS = "array<struct<start: int, end: int, s: string>>"
+FOLD = 64
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, s>>: texts between matches give the offsets."""
+    """array<struct<start, end, s>>: texts between matches give the offsets. The fold
+    goes by blocks, since an array that grows by one element is copied each time."""
+    none = F.expr(f"cast(array() as {SPANS})")
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    spans = F.aggregate(
-        F.zip_with(F.transform(between, lambda b: F.length(b)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int, s: string>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("s")))))
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), spans).otherwise(F.expr("cast(array() as array<struct<start: int, end: int, s: string>>)"))
+    pairs = F.zip_with(F.transform(between, lambda b: F.length(b)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+
+    def one(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
+        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("s"))
+        return F.struct(end.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
+    def block(acc: Column, xs: Column) -> Column:
+        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
 
-def _normal(x: Column) -> Column:
-    return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x)
+    def blocks(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / FOLD).cast("int")), lambda j: F.slice(xs, j * FOLD + 1, F.lit(FOLD)))
+
+    # a single block, as nearly all texts have, needs no outer fold
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    many = F.flatten(F.aggregate(blocks(pairs), F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPANS}>)").alias("out")), block)["out"])
+    return F.when(~text.rlike(pattern), none).when(F.size(found) < FOLD, F.aggregate(pairs, start, one)["out"]).otherwise(many)
 
 
 def _candidates(text: Column) -> Column:
@@ -109,7 +124,8 @@ def _sum(values: Column) -> Column:
 def _counts(c: Column) -> Column:
     n = c["n"]
     middle, mean = (c["k"] + 1) / 2, _sum(c["v"]) / n
-    following = F.slice(c["v"], 2, 1_000_000_000)
+    following, next_kind = (F.slice(c[name], 2, 1_000_000_000) for name in ("v", "kind"))
+    mixed = F.array_contains(c["kind"], 1)  # with small letters, a capital may begin a word
     return F.struct(
         c["start"], c["end"], n.alias("n"), c["k"], c["change"],
         _sum(F.transform(F.array_distinct(c["v"]), lambda d: F.pow(F.size(F.filter(c["v"], lambda x: x == d)), F.lit(2.0)))).alias("squares"),
@@ -117,7 +133,9 @@ def _counts(c: Column) -> Column:
         (_sum(F.zip_with(c["v"], following, lambda a, b: (a > middle) != (b > middle))) + 1).alias("runs"),
         _sum(F.transform(c["v"], lambda x: (x - mean) * (x - mean))).alias("spread"),
         _sum(F.zip_with(c["v"], following, lambda a, b: (a - mean) * (b - mean))).alias("serial"),
-        _sum(F.zip_with(c["kind"], F.slice(c["kind"], 2, 1_000_000_000), lambda a, b: a != b)).alias("changes"),
+        _sum(F.zip_with(c["kind"], next_kind, lambda a, b: a != b)).alias("changes"),
+        _sum(F.zip_with(c["kind"], next_kind, lambda a, b: mixed & (a == 2) & (a != b))).alias("capital_changes"),
+        _sum(F.zip_with(c["kind"], next_kind, lambda a, b: mixed & (a == 2) & b.isNotNull())).alias("capitals"),
     )
 
 
@@ -128,12 +146,23 @@ def _tested(c: Column) -> Column:
     mu = 2 * c["above"] * (n - c["above"]) / n + 1
     z_runs = F.try_divide(c["runs"] - mu, F.sqrt(F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(0.0))))
     z_serial = F.try_divide(c["serial"], c["spread"]) * F.sqrt(n)
-    bits = c["changes"] * F.log2(c["change"] / TEXT_CHANGE) + (n - 1 - c["changes"]) * F.log2((1 - c["change"]) / (1 - TEXT_CHANGE))
+    spread = 1 + n * TAU**2
+
+    def battery(z: Column) -> Column:
+        """Bits for "random": the normal densities of variance 1 and ``spread`` at z."""
+        return F.coalesce(F.log2(spread) / 2 - z * z / 2 * (1 - 1 / spread) * math.log2(math.e), F.lit(-float(BINS)))
+
+    def classes(changed: Column, total: Column, in_text: float) -> Column:
+        return changed * F.log2(c["change"] / in_text) + (total - changed) * F.log2((1 - c["change"]) / (1 - in_text))
+
+    capitals, turned = c["capitals"], c["capital_changes"]
+    changes = classes(turned, capitals, CAPITAL_CHANGE) + classes(c["changes"] - turned, n - 1 - capitals, TEXT_CHANGE)
+    # uniformity is tested from above only: symbols more even than chance are no sign of text
+    bits = changes + battery(F.greatest(z_chi, F.lit(0.0))) + battery(z_runs) + battery(z_serial)
     stratum = sum((n >= x).cast("int") for x in STRATA)
     return F.struct(
         c["start"], c["end"], stratum.alias("stratum"),
         F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor(bits).cast("int"))).alias("bits"),
-        ((z_chi < Z) & (F.abs(_normal(z_runs)) < Z) & (F.abs(_normal(z_serial)) < Z) & (c["above"] > 0) & (c["above"] < n)).alias("random"),
     )
 
 
@@ -181,7 +210,7 @@ def with_spans(scanned: DataFrame, least: list[int]) -> DataFrame:
     """Adds ``spans``: base ones and, from ``tested``, the reported random ones,
     by start, then kind."""
     bounds = F.array(*map(F.lit, least))
-    reported = F.filter("tested", lambda t: t["random"] & (t["bits"] >= F.get(bounds, t["stratum"])))
+    reported = F.filter("tested", lambda t: t["bits"] >= F.get(bounds, t["stratum"]))
     spans = F.sort_array(F.concat("base", _outermost(reported)))
     return scanned.withColumn("spans", spans).drop("tested")
 
@@ -212,9 +241,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with all spans of ``text`` replaced; thresholds come from a first
-    pass that keeps test results only, so text is never shuffled."""
-    results = materialize(scan(docs.select("text")).select("tested"), "secret-tests")
+    """``docs`` with all spans of ``text`` replaced. Texts are scanned once: they are
+    written with their test results, whose corpus-wide thresholds then decide."""
     rows = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # no name of the input can clash
-    found = with_spans(scan(rows), thresholds(results))
-    return found.select(F.col("row").withField("text", redacted(F.col("text"), F.col("spans"))).alias("row")).select("row.*")
+    scanned = materialize(scan(rows).select("row", "base", "tested"), "secret-tests")
+    found = with_spans(scanned, thresholds(scanned))
+    return found.select(F.col("row").withField("text", redacted(F.col("row.text"), F.col("spans"))).alias("row")).select("row.*")

@@ -7,6 +7,7 @@ import hashlib
 import re
 
 import pytest
+from gleaner.llm import queries
 from gleaner.llm import secret_scan as S
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -92,5 +93,42 @@ def test_redaction(spark, found):
     assert {r["base"] for r in S.redact(docs).collect()} == {1, None}
 
 
+def bits_of(spark, strings: list[str]) -> list[int]:
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(strings)], "doc_id long, text string")
+    rows = S.scan(docs).selectExpr("doc_id", "array_max(transform(tested, t -> t.bits)) AS bits").orderBy("doc_id").collect()
+    return [r["bits"] for r in rows]
+
+
+def test_each_test_of_the_battery_moves_the_p_value(spark):
+    """With the same changes of class, three symbols only are not uniform; sorted
+    symbols have too few runs and correlate with their neighbours."""
+    alphabet = S.UPPER + S.LOWER + S.DIGITS
+    random_ = token(5, alphabet, 64)
+    few = re.sub("[0-9]", "7", re.sub("[a-z]", "q", re.sub("[A-Z]", "Q", random_)))
+    ordered = "".join(sorted(random_, key=alphabet.index))
+    a, b, c = bits_of(spark, [random_, few, ordered])
+    assert a > 40 and b < a / 2 and c == 0
+
+
+def test_long_lists_of_matches(spark):
+    """Offsets across blocks of the fold."""
+    text = " ".join(f"secret={'k' * (8 + i % 5)}" for i in range(1000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert S.find_secrets(docs).select(S.written("base").alias("b")).first()["b"] == base_spans(text)
+
+
+def test_query(spark, found, tmp_path):
+    rows, docs, got = found
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = sorted(((r["doc_id"] or -1, r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) for r in queries.op3_secret_scan(spark, str(tmp_path)).collect()))
+    spans = {r["doc_id"] or -1: r["spans"] for r in got}
+    want = []
+    for i, t, _ in rows:
+        base = base_spans(t or "")
+        kinds = [x.split(":")[0] for x in base.split(",")]
+        want.append((i or -1, *(kinds.count(k) for k in S.KINDS[:3]), hashlib.sha256(base.encode()).hexdigest(), spans[i or -1]))
+    assert out == sorted(want)
+
+
 def test_empty(spark):
     assert S.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
