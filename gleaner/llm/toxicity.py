@@ -3,20 +3,25 @@
 Lexicon: words and word beginnings whose document frequency among toxic labels
 is beyond chance (Chernoff bound on the binomial tail) get log-odds weights.
 Grammar: five small transducers over token classes (insult, threat, target,
-negation, reported speech) are composed into one table; running a clause through
-it sums the weights of its matches, each raised by a target or lowered by a
-negation or report that governs it. A word alone does not score: the clause
-does. Document scores come from a logistic model of clause scores.
+negation, reported speech) are composed into one table of arcs; each arc names the
+events it is part of (insult after a target, target after an insult, threat against
+a target, negated, reported). Running a clause through it sums the weights of its
+matches, each raised or lowered by its events. A word alone does not score: the
+clause does. Event weights start from ``PRIOR`` and are moved by a ridge logistic
+regression on the labelled sample; document scores come from a logistic model of
+clause scores. The function words of the grammar are fixed lists.
 
 Labels are learned from a bounded, hash-ordered sample (``TOXIC_ROWS`` and
-``CLEAN_ROWS`` rows) outside the held-out fold; only the word statistics and
-features of those rows, never texts, reach the driver. Every document is then
-scored over its whole text in one pass without shuffle. Labels, language, source
-and ids are no inputs of a score.
-
-Defined cases: null or empty text has no clauses and scores by the intercept; a
-null doc_id is not held out; several labels for one id count as their largest;
-with no label of one kind the score is the smoothed share of toxic labels.
+``CLEAN_ROWS`` documents) outside the held-out fold; only the word statistics and
+features of those, never texts, reach the driver. Every document is then scored
+over its whole text in one pass without shuffle, a bounded slice of rows at a time.
+Labels, language, source and ids are no inputs of a score.
+
+Defined cases: null or empty text has no clauses and scores by the intercept; a very
+long text is scored whole; a null doc_id is not held out; several labels for one id
+count as their largest; of several texts of a labelled id the least is learned from;
+with no label of one kind the score is the smoothed share of toxic labels; an empty
+table gives no rows; other columns pass, and ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -33,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import materialize, ship
+from .common import Batches, lean, slices
 
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
 HELD = 500_000  # entries a task counts before it hands the sums on
@@ -53,51 +59,49 @@ WORDS = {
 CLASS_OF = {w: kind for kind, words in WORDS.items() for w in words.split()}
 
 
+#: events of the grammar, with the weight each adds to a match before labels are seen
+EVENTS = ("insult after target", "target or insult after insult", "target after threat", "negated", "reported")
+AFTER_TARGET, AFTER_INSULT, THREATENED, NEGATED, REPORTED = range(5)
+PRIOR = (0.5, 0.5, 2.0, -2.0, -1.0)
+
+
 @dataclass(frozen=True)
 class Transducer:
-    """States are small integers; ``step`` gives (next state, added weight)."""
+    """States are small integers; an arc gives the next state and the event it emits, if any."""
 
-    arcs: dict[tuple[int, int], tuple[int, float]]
+    arcs: dict[tuple[int, int], tuple[int, int | None]]
     states: int
 
-    def step(self, state: int, kind: int) -> tuple[int, float]:
-        return self.arcs.get((state, kind), self.arcs.get((state, REST), (state, 0.0)))
-
 
-def _countdown(trigger: int, span: int, effect: dict[int, float]) -> Transducer:
-    """Remembers ``trigger`` for ``span`` tokens; weighs classes in ``effect`` meanwhile."""
-    arcs = {}
-    for s in range(span + 1):
-        for kind in range(6):
-            arcs[s, kind] = (span if kind == trigger else max(0, s - 1), effect.get(kind, 0.0) if s else 0.0)
+def _countdown(trigger: int, span: int, event: int, on: tuple[int, ...]) -> Transducer:
+    """Remembers ``trigger`` for ``span`` tokens; classes ``on`` emit ``event`` meanwhile."""
+    arcs = {(s, kind): (span if kind == trigger else max(0, s - 1), event if s and kind in on else None) for s in range(span + 1) for kind in range(6)}
     return Transducer(arcs, span + 1)
 
 
-def _latch(trigger: int, effect: dict[int, float]) -> Transducer:
+def _latch(trigger: int, event: int, on: tuple[int, ...]) -> Transducer:
     """Remembers ``trigger`` to the clause's end."""
-    arcs = {(s, kind): (1 if kind == trigger else s, effect.get(kind, 0.0) if s else 0.0) for s in range(2) for kind in range(6)}
-    return Transducer(arcs, 2)
+    return Transducer({(s, kind): (1 if kind == trigger else s, event if s and kind in on else None) for s in range(2) for kind in range(6)}, 2)
 
 
-def compose(parts: list[Transducer]) -> tuple[list[list[int]], list[list[float]]]:
-    """The product machine as tables: next state and weight by state and class."""
+def compose(parts: list[Transducer]) -> tuple[list[list[int]], list[list[tuple[int, ...]]]]:
+    """The product machine as tables: next state and events by state and class."""
     sizes = [p.states for p in parts]
     number = {s: i for i, s in enumerate(product(*map(range, sizes)))}
-    following, weight = [], []
+    following, events = [], []
     for states in number:
-        steps = [[p.step(s, kind) for p, s in zip(parts, states)] for kind in range(6)]
+        steps = [[p.arcs[s, kind] for p, s in zip(parts, states)] for kind in range(6)]
         following.append([number[tuple(t for t, _ in step)] for step in steps])
-        weight.append([sum(w for _, w in step) for step in steps])
-    return following, weight
+        events.append([tuple(e for _, e in step if e is not None) for step in steps])
+    return following, events
 
 
-#: insult after target, threat before target, target after threat, negation, report
 GRAMMAR = compose([
-    _latch(TARGET, {INSULT: 0.5}),
-    _countdown(INSULT, 4, {TARGET: 0.5, INSULT: 0.5}),
-    _countdown(THREAT, 4, {TARGET: 2.0}),
-    _countdown(NEGATION, 3, {INSULT: -2.0, THREAT: -2.0}),
-    _latch(REPORT, {INSULT: -1.0, THREAT: -1.0}),
+    _latch(TARGET, AFTER_TARGET, (INSULT,)),
+    _countdown(INSULT, 4, AFTER_INSULT, (TARGET, INSULT)),
+    _countdown(THREAT, 4, THREATENED, (TARGET,)),
+    _countdown(NEGATION, 3, NEGATED, (INSULT, THREAT)),
+    _latch(REPORT, REPORTED, (INSULT, THREAT)),
 ])
 
 
@@ -105,9 +109,11 @@ GRAMMAR = compose([
 class Model:
     lexicon: dict[str, float] = field(default_factory=dict)  # whole words end in a blank
     weights: list[float] = field(default_factory=lambda: [0.0] * 5)
+    events: tuple[float, ...] = PRIOR
 
     def __post_init__(self) -> None:
         self.matcher = None
+        self.added = [[sum(self.events[e] for e in step) for step in row] for row in GRAMMAR[1]]
 
     def _hits(self, low: str) -> tuple[dict[int, float], set[int]]:
         """Weight of the longest entry at each word start that has one, and the
@@ -135,37 +141,52 @@ class Model:
                 longest[start] = (size, w)
         return {start: w for start, (_, w) in longest.items()}, threatened
 
-    def clauses(self, text: str) -> list[float]:
-        """Scores of the clauses that match. Only an insult or a threat can begin
-        a score, so clauses without either are not run."""
+    def _runs(self, text: str) -> Iterator[list[tuple[int, int, float]]]:
+        """For each clause with a lexicon or threat word (no other can score): class,
+        state before it and own weight of each of its words."""
         low = text.lower()
         hits, threatened = self._hits(low)
-        if not hits and not threatened:
-            return []
-        following, weight = GRAMMAR
-        spots, scores, at = sorted(threatened.union(hits)), [], 0
+        following = GRAMMAR[0]
+        spots, at = sorted(threatened.union(hits)), 0
+        if not spots:
+            return
         for clause in CLAUSE.finditer(low):
             if at == len(spots):
                 break
             if clause.end() <= spots[at]:
                 continue
-            state, score = 0, 0.0
+            state, run = 0, []
             for m in WORD.finditer(low, clause.start(), clause.end()):
                 own = hits.get(m.start())
                 kind = INSULT if own is not None else CLASS_OF.get(m.group(), REST)
-                if kind == INSULT:
-                    score += max(0.0, own + weight[state][kind])
-                elif kind == THREAT:
-                    score += max(-2.0, weight[state][kind])
-                else:
-                    score += weight[state][kind]
+                run.append((kind, state, own or 0.0))
                 state = following[state][kind]
             while at < len(spots) and spots[at] < clause.end():
                 at += 1
+            yield run
+
+    def clauses(self, text: str) -> list[float]:
+        """Scores of the clauses that match."""
+        scores = []
+        for run in self._runs(text):
+            score = 0.0
+            for kind, state, own in run:
+                more = self.added[state][kind]
+                score += max(0.0, own + more) if kind == INSULT else max(-2.0, more) if kind == THREAT else more
             if score > 0:
                 scores.append(score)
         return scores
 
+    def emitted(self, text: str | None) -> list[float]:
+        """What all clauses emit: the words' own weights, and each event's count."""
+        out = [0.0] * (1 + len(EVENTS))
+        for run in self._runs(text or ""):
+            for kind, state, own in run:
+                out[0] += own
+                for e in GRAMMAR[1][state][kind]:
+                    out[1 + e] += 1
+        return out
+
     def features(self, text: str | None) -> list[float]:
         text = text or ""
         scores = self.clauses(text)
@@ -198,7 +219,7 @@ def _sample(labels: DataFrame, label: str) -> tuple[DataFrame, int, int]:
     return drawn, sizes.get(1, 0), sizes.get(0, 0)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Batches) -> Batches:
     counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
 
     def sums() -> pa.RecordBatch:
@@ -206,7 +227,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [pa.array(names, pa.string()), *(pa.array([c[e] for e in names], pa.int64()) for c in reversed(counts))]
         return pa.RecordBatch.from_arrays(columns, ["entry", "toxic", "clean"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
             counts[y].update(entries(text))
             if len(counts[0]) + len(counts[1]) >= HELD:
@@ -220,7 +241,7 @@ def _judged(sample: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     """entry, toxic, evidence, odds: entries whose share of toxic documents is
     beyond chance, among all that enough toxic documents hold."""
     f = n_toxic / (n_toxic + n_clean)
-    total = sample.select("y", "text").mapInArrow(_counted, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    total = sample.select("y", "text").mapInArrow(lean(_counted), "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     a, b = F.col("toxic"), F.col("clean")
     p = a / (a + b)
     rest = F.when(b > 0, (1 - p) * F.log((1 - p) / (1 - f))).otherwise(0.0)
@@ -258,43 +279,65 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return w
 
 
+def learn_events(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
+    """Weights of the events in units of a word's log-odds: a logistic regression on
+    what documents emit, whose ridge draws towards ``PRIOR`` and not towards zero. A
+    weight keeps its prior's sign and at most doubles it; a threat keeps at least half."""
+    scaled = np.log1p(x)
+    scaled = np.column_stack([np.ones(len(x)), scaled[:, 0] + np.log1p(x[:, 1:]) @ np.array(PRIOR) / 4, scaled[:, 1:]])
+    w = logistic(scaled, y, weight, ridge=1.0)
+    unit = max(w[1], 1e-6)
+    moved = [p + c / unit for p, c in zip(PRIOR, w[2:])]
+    least = [0.5 * p if e == THREATENED else 0.0 for e, p in enumerate(PRIOR)]
+    return tuple(float(np.clip(m, *sorted((lo, 2 * p)))) for m, lo, p in zip(moved, least, PRIOR))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     ship(docs.sparkSession)
     drawn, all_toxic, all_clean = _sample(labels, label)
     if not all_toxic or not all_clean:
         return Model({}, [math.log((all_toxic + 0.5) / (all_clean + 0.5)) if all_toxic + all_clean else -5.0, 0.0, 0.0, 0.0, 0.0])
     # at most TOXIC_ROWS + CLEAN_ROWS rows of two numbers
-    sample = docs.select(docs["doc_id"].cast("long").alias("__id"), "text").join(F.broadcast(drawn), "__id")
+    sample = docs.select(docs["doc_id"].cast("long").alias("__id"), docs["text"]).join(F.broadcast(drawn), "__id")
+    # as many documents, each once; dealt over all cores
+    sample = materialize(sample.groupBy("__id", "y").agg(F.min("text").alias("text")).repartition(docs.sparkSession.sparkContext.defaultParallelism, "__id"), "labelled")
     n_toxic, n_clean = min(all_toxic, TOXIC_ROWS), min(all_clean, CLEAN_ROWS)
     model = Model(learn_lexicon(sample, n_toxic, n_clean))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [model.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.float64()))], ["y", "x"])
+    def gathered(of: Callable[[str | None], list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Batches) -> Batches:
+            for batch in slices(batches):
+                found = [of(t) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = sample.select("y", "text").mapInArrow(run, "y int, x array<double>").collect()
-    if not rows:
+        # a row of a few numbers for each document of the sample
+        rows = sorted(sample.select("y", "text").mapInArrow(lean(run), "y int, x array<double>").collect())
+        return np.array([r["y"] for r in rows], float), np.array([r["x"] for r in rows])
+
+    y, x = gathered(model.emitted)
+    if not len(y):
         return Model({}, [-5.0, 0.0, 0.0, 0.0, 0.0])
-    rows.sort()
-    y, x = np.array([r["y"] for r in rows], float), np.array([r["x"] for r in rows])
     share = np.where(y == 1, all_toxic / max(1, (y == 1).sum()), all_clean / max(1, (y == 0).sum()))
-    return Model(model.lexicon, logistic(x, y, share * len(y) / share.sum()).tolist())
+    weight = share * len(y) / share.sum()
+    model = Model(model.lexicon, events=learn_events(x, y, weight))
+    y, x = gathered(model.features)  # the same rows' labels and weights, in another order
+    share = np.where(y == 1, all_toxic / max(1, (y == 1).sum()), all_clean / max(1, (y == 0).sum()))
+    return Model(model.lexicon, logistic(x, y, share * len(y) / share.sum()).tolist(), model.events)
 
 
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, which replaces a column of that name."""
     ship(docs.sparkSession)
     base = docs.drop("score")
-    plain = Model(model.lexicon, model.weights)
+    plain = Model(model.lexicon, model.weights, model.events)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in slices(batches):
             scores = [plain.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{kinds}, score double")
+    return base.mapInArrow(lean(run), f"{kinds}, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:

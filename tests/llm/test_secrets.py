@@ -120,13 +120,14 @@ def test_long_lists_of_matches(spark):
 def test_query(spark, found, tmp_path):
     rows, docs, got = found
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    out = sorted(((r["doc_id"] or -1, r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) for r in queries.op3_secret_scan(spark, str(tmp_path)).collect()))
-    spans = {r["doc_id"] or -1: r["spans"] for r in got}
+    number = lambda i: -1 if i is None else i
+    out = sorted(((number(r["doc_id"]), r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) for r in queries.op3_secret_scan(spark, str(tmp_path)).collect()))
+    spans = {number(r["doc_id"]): r["spans"] for r in got}
     want = []
     for i, t, _ in rows:
         base = base_spans(t or "")
         kinds = [x.split(":")[0] for x in base.split(",")]
-        want.append((i or -1, *(kinds.count(k) for k in S.KINDS[:3]), hashlib.sha256(base.encode()).hexdigest(), spans[i or -1]))
+        want.append((number(i), *(kinds.count(k) for k in S.KINDS[:3]), hashlib.sha256(base.encode()).hexdigest(), spans[number(i)]))
     assert out == sorted(want)
 
 

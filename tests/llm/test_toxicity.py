@@ -39,9 +39,36 @@ def test_threats_score_without_an_insult():
 
 
 def test_composition_is_the_product():
-    following, weight = T.GRAMMAR
+    following, events = T.GRAMMAR
     assert len(following) == 2 * 5 * 5 * 4 * 2
-    assert weight[following[0][T.NEGATION]][T.INSULT] == -2.0
+    assert events[following[0][T.NEGATION]][T.INSULT] == (T.NEGATED,)
+    assert T.Model().added[following[0][T.NEGATION]][T.INSULT] == -2.0
+
+
+def test_event_weights_are_learned():
+    """Reported insults that are as toxic as others lose the lowering; where they are
+    clean, it stays. Priors alone would not tell the two cases apart."""
+    pick = random.Random(4)
+    found = {}
+    for reported_is_toxic in (False, True):
+        model, rows, y = T.Model({"blorg ": 3.0}), [], []
+        for i in range(900):
+            kind = i % 3
+            rows.append(model.emitted(" ".join(pick.choices(PLAIN, k=20)) + ["", ". a blorg came", ". she said that a blorg came"][kind]))
+            y.append(float(kind == 1 or kind == 2 and reported_is_toxic))
+        x = T.np.array(rows)
+        learned = T.learn_events(x, T.np.array(y), T.np.ones(len(y)))
+        assert learned[T.THREATENED] >= 1.0
+        found[reported_is_toxic] = learned[T.REPORTED]
+    assert found[False] < T.PRIOR[T.REPORTED] < found[True]
+
+
+def test_repeated_ids_and_very_long_texts(spark):
+    """Every row is scored; of a labelled id's texts one is learned from."""
+    docs = spark.createDataFrame([(i % 40, f"{'blorg' if i % 4 == 0 else 'word'} text {i % 40}") for i in range(4000)] + [(41, "plain " * 300_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    rows = T.score_documents(docs, labels).collect()
+    assert len(rows) == 4001 and len({(r["doc_id"], r["score"]) for r in rows}) == 41
 
 
 @pytest.fixture(scope="module")
