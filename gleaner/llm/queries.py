@@ -107,7 +107,7 @@ QUERIES |= {"op1_ngram_join": op1_ngram_join}
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"), "n_passage_words")
 
 
 QUERIES |= {"op10_suffix_dedup": op10_suffix_dedup}

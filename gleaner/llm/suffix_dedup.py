@@ -18,19 +18,26 @@ Two positions are duplicates if the ``SPAN`` bytes that start there are equal.
    offsets, so a round costs O(documents), not a pass over all that was inserted.
    Columns come from one sequential temporary file. A window is repeated iff the
    common prefix with a neighbour reaches SPAN.
-4. Anchors with more than ``COLLECTION`` kinds of run are not gathered in a task:
-   their windows' 128-bit hashes are counted instead, pre-aggregated.
+4. Anchors with more than ``COLLECTION`` kinds of run are split into collections
+   that the same construction can order in a task: runs are cut into stretches of
+   ``REACHES`` windows at fixed distances from the anchor, and stretches go together
+   if the bytes that all windows of such a stretch share are equal. Equal windows
+   stay together, since those bytes are part of them.
+5. Passages of more than 50 words may have fewer than SPAN bytes. ``shared_passages``
+   finds them with the same anchors over words; they are reported, not cut.
 
 Hashes have 128 bits. Defined cases: null text is empty; texts under SPAN bytes
-have no windows; rows with the same id and text are copies of each other; a null
-doc_id is allowed; other columns of the input play no part.
+have no windows; very long texts are hashed piece by piece; rows with the same id and
+text are copies of each other; a null doc_id is allowed; an empty table gives no rows;
+other columns of the input, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +45,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
+from .common import Batches, lean, slices
+from .ngram_join import mix, word_hashes
 
 SPAN, K = 400, 64
-COLLECTION = 20_000
+COLLECTION = 4_000
+REACHES = (32, 8, 1)
 CHUNK = 1 << 20
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -57,14 +67,16 @@ def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Hashes of any stretch of a buffer, two independent ones of 64 bits."""
+    """Hashes of any stretch of a buffer of bytes (or of words, given by their hashes),
+    two independent ones of 64 bits."""
 
     def __init__(self, data: np.ndarray):
         self.total = []
+        symbols = [_SYMBOLS[which][data] for which in range(2)] if data.dtype == np.uint8 else [data, mix(data ^ _U(_BASES[1]))]
         for which in range(2):
             power, _ = _power(which, len(data) + 1)
             total = np.zeros(len(data) + 1, _U)
-            np.cumsum(_SYMBOLS[which][data] * power[: len(data)], out=total[1:])
+            np.cumsum(symbols[which] * power[: len(data)], out=total[1:])
             self.total.append(total)
 
     def of(self, which: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,11 +115,11 @@ def runs(data: np.ndarray, bounds: np.ndarray, span: int = SPAN, k: int = K) ->
     return owner, signed(grams[p]), signed(hashes.of(0, start, stop + span)), signed(hashes.of(1, start, stop + span)), p - start, start - begin, stop - begin
 
 
-def _pieces(texts: list[bytes], span: int) -> Iterator[tuple[list[int], list[int], bytes]]:
+def _pieces(texts: list, span: int) -> Iterator[tuple[list[int], list[int], list]]:
     """Buffers of whole texts; longer texts in pieces that overlap by span - 1,
     so that every window is in just one piece."""
     held, offsets, size = [], [], 0
-    parts: list[bytes] = []
+    parts: list = []
     for i, t in enumerate(texts):
         for at in range(0, max(1, len(t) - span + 1), CHUNK):
             piece = t[at : at + CHUNK + span - 1]
@@ -124,11 +136,13 @@ def _pieces(texts: list[bytes], span: int) -> Iterator[tuple[list[int], list[int
         yield held, offsets, parts
 
 
-def text_runs(texts: list[bytes], span: int = SPAN, k: int = K) -> tuple[np.ndarray, ...]:
+def text_runs(texts: list, span: int = SPAN, k: int = K) -> tuple[np.ndarray, ...]:
+    """Runs of texts, as bytes or as arrays of word hashes."""
     out = []
     for held, offsets, parts in _pieces(texts, span):
         bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        owner, *rest, first, last = runs(np.frombuffer(b"".join(parts), np.uint8), bounds, span, k)
+        data = np.frombuffer(b"".join(parts), np.uint8) if isinstance(parts[0], bytes) else np.concatenate(parts)
+        owner, *rest, first, last = runs(data, bounds, span, k)
         shift = np.array(offsets)[owner] if len(owner) else 0
         out.append((np.array(held)[owner], *rest, first + shift, last + shift))
     if not out:
@@ -203,65 +217,90 @@ def _emit(columns: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
-def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            owner, *rest = text_runs(texts)
-            pick = pa.array(owner, pa.int64())
-            yield _emit([batch.column("__doc").take(pick), batch.column("text_hash").take(pick), *rest], RUNS)
+def _run_rows(batches: Batches) -> Batches:
+    for batch in slices(batches):
+        texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        owner, *rest = text_runs(texts)
+        pick = pa.array(owner, pa.int64())
+        yield _emit([batch.column("__doc").take(pick), batch.column("text_hash").take(pick), *rest], RUNS)
 
 
 SEGMENTS = "anchor long, __doc long, text_hash long, lead int, first int, last int, alone int, bytes binary"
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _segment_rows(batches: Batches) -> Batches:
+    for batch in slices(batches):
         out: list[list] = [[] for _ in range(8)]
+        held = 0
         for doc, hash_, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("__doc", "text_hash", "text", "wanted"))):
             data = (text or "").encode()
             for w in wanted:
                 row = (w["anchor"], doc, hash_, w["lead"], w["first"], w["last"], w["alone"], data[w["first"] : w["last"] + SPAN])
                 for column, x in zip(out, row):
                     column.append(x)
+                held += len(row[-1])
+                if held > CHUNK:
+                    yield _emit(out, SEGMENTS)
+                    out, held = [[] for _ in range(8)], 0
         yield _emit(out, SEGMENTS)
 
 
+def _stretches(reach: int) -> Callable[[Batches], Batches]:
+    """Cuts segments into windows whose distances from the anchor lie in one stretch of
+    ``reach``; the hash of what these windows share takes the anchor's place."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in slices(batches, rows=64):
+            out: list[list] = [[] for _ in range(8)]
+            for row in batch.to_pylist():
+                hashes = Hashes(np.frombuffer(row["bytes"], np.uint8))
+                lead, n = row["lead"], row["last"] - row["first"] + 1
+                for stretch in range((lead - n + 1) // reach, lead // reach + 1):
+                    near, far = stretch * reach, stretch * reach + reach - 1
+                    a, b = max(0, lead - far), min(n - 1, lead - near)
+                    # of every window at a distance from near to far: lead - near is where the last one starts
+                    core = np.array([lead - near]), np.array([lead - far + SPAN])
+                    group = hashes.of(0, *core) ^ hashes.of(1, *core) * _U(0x9E3779B97F4A7C15) ^ np.array([stretch + 1], _U) * _U(0xC2B2AE3D27D4EB4F)
+                    cut = (int(group.view(np.int64)[0]), row["__doc"], row["text_hash"], lead - a, row["first"] + a, row["first"] + b, row["alone"], row["bytes"][a : b + SPAN])
+                    for column, x in zip(out, cut):
+                        column.append(x)
+            yield _emit(out, SEGMENTS)
+
+    return run
+
+
 FOUND = "__doc long, text_hash long, first int, last int"
 
 
-def _column_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by anchor: whole anchors are gathered up to COLLECTION rows."""
-    held: list[dict] = []
+def _column_rows(collection: int, last: bool) -> Callable[[Batches], Batches]:
+    """Segments sorted by anchor: whole anchors are gathered up to ``collection`` rows, and
+    beyond it only where ``last``: all windows of an anchor are then equal, so that any
+    two or more of them may go together."""
 
-    def compare(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    def compare(rows: list[dict]) -> Batches:
         marks = repeated_windows([r["bytes"] for r in rows], [r["lead"] for r in rows], [r["last"] - r["first"] + 1 for r in rows])
         out = [(r["__doc"], r["text_hash"], r["first"] + a, r["first"] + b) for r, mask in zip(rows, marks) if r["alone"] for a, b in _ranges(mask)]
         if out:
             yield _emit(list(zip(*out)), FOUND)
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            if len(held) >= COLLECTION and held[-1]["anchor"] != row["anchor"]:
-                yield from compare(held)
-                held = []
-            held.append(row)
-    if held:
-        yield from compare(held)
-
-
-WINDOWS = "__doc long, text_hash long, lead int, w1 long, w2 long, first int"
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            data = np.frombuffer(row["bytes"], np.uint8)
-            at = np.arange(row["last"] - row["first"] + 1)
-            hashes = Hashes(data)
-            n = len(at)
-            yield _emit([[row["__doc"]] * n, [row["text_hash"]] * n, [row["lead"]] * n, hashes.of(0, at, at + SPAN).view(np.int64), hashes.of(1, at, at + SPAN).view(np.int64), at + row["first"]], WINDOWS)
+    def run(batches: Batches) -> Batches:
+        held: list[dict] = []
+        begin = 0  # of the last anchor's rows
+        for batch in slices(batches):
+            for row in batch.to_pylist():
+                if held and held[-1]["anchor"] != row["anchor"]:
+                    begin = len(held)
+                    if begin >= collection:
+                        yield from compare(held)
+                        held, begin = [], 0
+                elif last and len(held) - begin >= 2 * max(2, collection):
+                    yield from compare(held[:-collection])
+                    held, begin = held[-collection:], 0
+                held.append(row)
+        if held:
+            yield from compare(held)
+
+    return run
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -272,9 +311,8 @@ def repeated_ranges(docs: DataFrame, collection: int = COLLECTION) -> DataFrame:
     """__doc, text_hash, ranges: starts of repeated windows, both ends inclusive."""
     spark = docs.sparkSession
     ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = _own(docs)
-    every = materialize(own.mapInArrow(_run_rows, RUNS), "runs")
+    every = materialize(own.mapInArrow(lean(_run_rows), RUNS), "runs")
     twice = materialize(every.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor"), "anchors")
     shared = materialize(every.join(twice, "anchor"), "shared-runs")
     kind = ["anchor", "run1", "run2", "lead"]
@@ -295,15 +333,87 @@ def repeated_ranges(docs: DataFrame, collection: int = COLLECTION) -> DataFrame:
     )
     wanted = materialize(wanted, "wanted")
     texts = own.join(wanted, own["__doc"].eqNullSafe(wanted["at"]) & (own["text_hash"] == wanted["hash"])).select("__doc", "text_hash", "text", "wanted").dropDuplicates(["__doc", "text_hash"])
-    segments = materialize(texts.mapInArrow(_segment_rows, SEGMENTS), "segments")
-    few, many = (rival.where(f"n_kinds {op} {collection}").select("anchor") for op in ("<=", ">"))
-    columnwise = segments.join(few, "anchor", "left_semi").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_column_rows, FOUND)
-    found = whole.unionAll(columnwise)
-    if not many.isEmpty():  # anchors too frequent for one task
-        windows = materialize(segments.join(many, "anchor", "left_semi").mapInArrow(_window_rows, WINDOWS), "windows")
-        again = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "again")
-        found = found.unionAll(windows.join(again, ["w1", "w2"], "left_semi").select("__doc", "text_hash", "first", F.col("first").alias("last")))
-    return found.groupBy("__doc", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    segments = materialize(texts.mapInArrow(lean(_segment_rows), SEGMENTS), "segments")
+    found = [whole]
+    for reach in (*REACHES, None):
+        sizes = materialize(segments.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1"), "collections")
+        most = F.lit(collection if reach else 1 << 62)
+        here = segments.join(sizes.where(F.col("many") <= most).select("anchor"), "anchor", "left_semi")
+        found.append(here.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(_column_rows(collection, reach is None)), FOUND))
+        large = sizes.where(F.col("many") > most).select("anchor")
+        if large.isEmpty():
+            break
+        segments = materialize(segments.join(large, "anchor", "left_semi").mapInArrow(lean(_stretches(reach)), SEGMENTS), "stretches")
+    return reduce(DataFrame.unionAll, found).groupBy("__doc", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+
+
+PASSAGE, PASSAGE_K = 51, 11  # words of a window, and of the strings that name its anchor
+WORD_WINDOWS = "anchor long, run1 long, run2 long, lead int, lo long, hi long, offset int, w1 long, w2 long"
+
+
+def _words(text: str | None) -> np.ndarray:
+    return word_hashes((text or "").encode())[0]
+
+
+def _word_run_rows(batches: Batches) -> Batches:
+    for batch in slices(batches):
+        owner, *rest = text_runs([_words(t) for t in batch.column("text").to_pylist()], PASSAGE, PASSAGE_K)
+        pick = pa.array(owner, pa.int64())
+        yield _emit([batch.column("__doc").take(pick), batch.column("text_hash").take(pick), *rest], RUNS)
+
+
+def _word_window_rows(batches: Batches) -> Batches:
+    for batch in slices(batches, rows=64):
+        out: list[list[np.ndarray]] = [[] for _ in range(9)]
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+            words = _words(text)
+            for w in wanted:
+                hashes, at = Hashes(words[w["first"] : w["last"] + PASSAGE]), np.arange(w["last"] - w["first"] + 1)
+                found = [np.full(len(at), w[c]) for c in ("anchor", "run1", "run2", "lead", "lo", "hi")]
+                for column, x in zip(out, [*found, at, *(hashes.of(which, at, at + PASSAGE).view(np.int64) for which in range(2))]):
+                    column.append(x)
+        yield _emit([np.concatenate(c) if c else [] for c in out], WORD_WINDOWS)
+
+
+def _covered(batches: Batches) -> Batches:
+    for batch in slices(batches):
+        sizes = [sum(b - a for a, b in removed_spans([(r["first"], r["last"]) for r in x], PASSAGE)) for x in batch.column("ranges").to_pylist()]
+        yield _emit([batch.column("__doc"), batch.column("text_hash"), sizes], "__doc long, text_hash long, words long")
+
+
+def shared_passages(docs: DataFrame) -> DataFrame:
+    """__doc, text_hash, words: of the texts that share passages of more than 50 words
+    with a document of another id, how many of their words these cover.
+
+    Windows of ``PASSAGE`` words are grouped into runs by anchors as windows of bytes
+    are; runs that are equal as a whole need no more, for others of one anchor the
+    windows of one run of each kind are counted by hash, with the least and the
+    largest id that holds them. Ids, not copies, are compared, so a text that is
+    repeated under its own id shares nothing."""
+    ship(docs.sparkSession)
+    own = _own(docs)
+    id_ = F.coalesce("__doc", F.lit(-(2**63)))
+    every = materialize(own.mapInArrow(lean(_word_run_rows), RUNS), "word-runs")
+    twice = materialize(every.groupBy("anchor").agg(F.min(id_).alias("lo"), F.max(id_).alias("hi")).where("lo < hi").select("anchor"), "word-anchors")
+    shared = materialize(every.join(twice, "anchor"), "shared-word-runs")
+    kind = ["anchor", "run1", "run2", "lead"]
+    kinds = materialize(shared.groupBy(*kind).agg(F.min(id_).alias("lo"), F.max(id_).alias("hi"), F.min(F.struct("__doc", "text_hash", "first", "last")).alias("one")), "word-kinds")
+    place = ["__doc", "text_hash", "first", "last"]
+    whole = shared.join(kinds.where("lo < hi").select(*kind), kind, "left_semi").select(*place)
+    rival = kinds.groupBy("anchor").agg(F.count("*").alias("n_kinds")).where("n_kinds > 1").select("anchor")
+    wanted = (
+        kinds.join(rival, "anchor")
+        .select(F.col("one.__doc").alias("at"), F.col("one.text_hash").alias("hash"), F.struct(*kind, "lo", "hi", F.col("one.first").alias("first"), F.col("one.last").alias("last")).alias("w"))
+        .groupBy("at", "hash").agg(F.collect_list("w").alias("wanted"))
+    )
+    wanted = materialize(wanted, "wanted-word-runs")
+    texts = own.join(wanted, own["__doc"].eqNullSafe(wanted["at"]) & (own["text_hash"] == wanted["hash"])).select("__doc", "text_hash", "text", "wanted").dropDuplicates(["__doc", "text_hash"])
+    windows = materialize(texts.mapInArrow(lean(_word_window_rows), WORD_WINDOWS), "word-windows")
+    again = windows.groupBy("w1", "w2").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("w1", "w2")
+    hits = windows.where("lo = hi").join(again, ["w1", "w2"], "left_semi").groupBy(*kind).agg(F.collect_list("offset").alias("offsets"))
+    part = shared.join(materialize(hits, "word-hits"), kind).select("__doc", "text_hash", "first", F.explode("offsets").alias("offset")).select("__doc", "text_hash", (F.col("first") + F.col("offset")).alias("first"))
+    ranges = whole.unionAll(part.withColumn("last", F.col("first"))).groupBy("__doc", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    return ranges.mapInArrow(lean(_covered), "__doc long, text_hash long, words long")
 
 
 def removed_spans(ranges: list[tuple[int, int]], span: int = SPAN) -> list[tuple[int, int]]:
@@ -317,22 +427,26 @@ def removed_spans(ranges: list[tuple[int, int]], span: int = SPAN) -> list[tuple
     return [(a, b) for a, b in out]
 
 
-CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: int, end: int>>, kept binary"
+CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: int, end: int>>, kept binary, n_passage_words long"
 
 
 def remove_repeats(docs: DataFrame, collection: int = COLLECTION) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (byte offsets) and the kept bytes: cuts
-    may fall within a character, so these are binary."""
+    may fall within a character, so these are binary. ``n_passage_words`` counts the
+    words of passages of more than 50 words that a document of another id shares."""
     own = _own(docs)
-    ranges = materialize(repeated_ranges(docs, collection), "ranges").withColumnsRenamed({"__doc": "at", "text_hash": "hash"})
-    joined = own.join(ranges, own["__doc"].eqNullSafe(ranges["at"]) & (own["text_hash"] == ranges["hash"]), "left").select("__doc", "text", "ranges")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    none = F.lit(None)
+    ranges = repeated_ranges(docs, collection)
+    found = ranges.withColumn("words", none.cast("long")).unionAll(shared_passages(docs).select("__doc", "text_hash", none.cast(ranges.schema["ranges"].dataType).alias("ranges"), "words"))
+    found = materialize(found.groupBy("__doc", "text_hash").agg(F.first("ranges", ignorenulls=True).alias("ranges"), F.max("words").alias("words")), "ranges").withColumnsRenamed({"__doc": "at", "text_hash": "hash"})
+    joined = own.join(found, own["__doc"].eqNullSafe(found["at"]) & (own["text_hash"] == found["hash"]), "left").select("__doc", "text", "ranges", F.coalesce("words", F.lit(0)).alias("words"))
+
+    def run(batches: Batches) -> Batches:
+        for batch in slices(batches):
             sizes, removed, spans, kept = [], [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
+            for text, repeated in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
                 data = (text or "").encode()
-                own_spans = removed_spans([(r["first"], r["last"]) for r in found or []])
+                own_spans = removed_spans([(r["first"], r["last"]) for r in repeated or []])
                 at, parts = 0, []
                 for a, b in own_spans:
                     parts.append(data[at:a])
@@ -343,9 +457,10 @@ def remove_repeats(docs: DataFrame, collection: int = COLLECTION) -> DataFrame:
                 removed.append(len(data) - len(kept[-1]))
                 spans.append([{"start": a, "end": b} for a, b in own_spans])
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("__doc"), *(pa.array(c, t) for c, t in zip((sizes, removed, spans, kept), kinds))], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            columns = [batch.column("__doc"), *(pa.array(c, t) for c, t in zip((sizes, removed, spans, kept), kinds)), batch.column("words")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "spans", "kept", "n_passage_words"])
 
-    return joined.mapInArrow(run, CUT)
+    return joined.mapInArrow(lean(run), CUT)
 
 
 def digest(data: bytes) -> str:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from gleaner.llm import queries
 from gleaner.llm import suffix_dedup as S
 
 
@@ -63,6 +65,42 @@ def test_equals_brute_force(found, collection):
     assert sorted(got, key=repr) == want
 
 
+def shared_words(rows) -> list[tuple]:
+    """By a table of all windows of 51 words and the ids that hold them."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, _ in rows]
+    holders = defaultdict(set)
+    for (i, *_), w in zip(rows, words):
+        for a in range(len(w) - 50):
+            holders[tuple(w[a : a + 51])].add(i)
+    return sorted(((i, len({b for a in range(len(w) - 50) if len(holders[tuple(w[a : a + 51])]) > 1 for b in range(a, a + 51)})) for (i, *_), w in zip(rows, words)), key=repr)
+
+
+def test_shared_passages(spark, found):
+    pick = random.Random(12)
+    short = [" ".join(pick.choices(["to", "a", "of", "it", "we"], k=n)) for n in (49, 50, 51, 52, 60, 75)]
+    rows = corpus() + [(500 + i, f"head {i} {short[i % 6]} tail {i} " + " ".join(str(pick.random()) for _ in range(i)), "x") for i in range(60)] + [(600, f"{short[4]} {short[4]}", "x"), (601, f"{short[5]} 9", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, words string").repartition(5)
+    assert sorted(((r["doc_id"], r["n_passage_words"]) for r in S.remove_repeats(docs).collect()), key=repr) == shared_words(rows)
+
+
+def test_query(spark, found, tmp_path):
+    docs, want = found
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_suffix_dedup(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_equal_windows_of_one_collection_beyond_its_size(spark):
+    """As many runs of one anchor as split down to single windows, and beyond."""
+    pick = random.Random(3)
+    middle = "".join(pick.choices("abcdefghij ", k=380))
+    rows = [(i, f"{i % 7} {pick.random()} {'xy'[i % 2] * 12}{middle}{'pq'[i % 3 % 2] * 14} {pick.random()}", "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bytes string")
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), S.digest(bytes(r["kept"]))) for r in S.remove_repeats(docs, 4).collect()]
+    assert sorted(got) == sorted((i, *b) for (i, *_), b in zip(rows, brute([t for _, t, _ in rows])))
+    assert sum(r[2] for r in got) > 0
+
+
 def test_empty(found):
     assert S.remove_repeats(found[0].limit(0)).count() == 0
 
