@@ -8,6 +8,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +36,14 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder of this machine is used.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    the master is local, as in tests, a temporary folder of this machine is used.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     made = getattr(spark.sparkContext, "_gleaner_dir", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="gleaner-")
@@ -47,15 +52,52 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; it is deleted when the JVM ends."""
+    """A fresh path below the shared folder; it is deleted with the ``scratch`` it
+    was made in, or else when the JVM ends."""
     path = f"{shared_dir(spark)}/gleaner-{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+    held = _held.get()
+    if held is not None:
+        held.append(path)
     return path
 
 
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialized within go at its end, but for those that are passed
+    (as ``materialize`` gave them) to the function it yields; these belong to the scratch around it, if there is one. Nothing
+    lazy that reads the others may leave it."""
+    outer, own, kept = _held.get(), [], []
+    token = _held.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._gleaner_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _held.reset(token)
+        for path in own:
+            if path in kept:
+                if outer is not None:
+                    outer.append(path)
+            else:
+                files, place = _place(spark, path)
+                files.delete(place, True)
+                files.cancelDeleteOnExit(place)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if a small input would leave some idle: a table of one
     file is one task. Inputs of more partitions than cores pass unchanged."""
@@ -71,7 +113,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gleaner_path = path
+    return out
 
 
 def ship(spark: SparkSession) -> None:
