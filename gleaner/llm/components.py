@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     least ones. Each round is written to shared storage, so its lineage is short
     and a lost executor costs no round; only a count and a checksum reach the
     driver. Hubs are pre-aggregated; joins on them are splittable."""
+    spark = edges.sparkSession
     now = materialize(edges.where("a <> b").distinct(), "edges")
     state = None
     while True:
@@ -37,4 +38,5 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(after) == state or after[0] == 0:
             return now
         state = tuple(after)
-        now = materialize(_small_star(materialize(_large_star(now).distinct(), "large")).distinct(), "small")
+        with scratch(spark) as keep:
+            now = keep(materialize(_small_star(materialize(_large_star(now).distinct(), "large")).distinct(), "small"))

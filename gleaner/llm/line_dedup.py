@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship
+from ..session import materialize, scratch, ship
 from .common import Batches, lean, slices
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -115,8 +115,12 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 
     A bit of 0 drops the line at that position; lines past the end stay.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return keep(materialize(_line_bitmaps(docs, min_chars, min_docs), "bitmaps"))
+
+
+def _line_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     seen = materialize(line_occurrences(docs, min_chars), "lines")
     counted = seen.groupBy("h1", "h2").agg(F.count_distinct("__doc").alias("n_docs"))
     # written out, so that the join below reads both sides from plain exchanges, which can be split where a line is hot

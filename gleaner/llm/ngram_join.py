@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship
+from ..session import materialize, scratch, ship
 from .common import Batches, lean, slices
 from .components import components
 
@@ -326,6 +326,11 @@ def membership(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, text_hash, class (key) and n_links (other texts within the
     threshold), a row for each row of ``docs``."""
     ship(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return keep(materialize(_membership(docs, threshold), "membership"))
+
+
+def _membership(docs: DataFrame, threshold: float) -> DataFrame:
     least = least_matches(threshold)
     own = _own(docs)
     described = materialize(own.mapInArrow(lean(_described), "doc_id long, text_hash long, node binary, n_words long, signature binary, bands array<long>"), "described")
@@ -348,10 +353,9 @@ def membership(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     roots = components(linked.select(F.col("node").alias("a"), F.col("peer").alias("b"))).select(F.col("a").alias("member"), F.col("b").alias("class"))
     counts = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
     known = materialize(counts.join(roots, counts["node"] == roots["member"], "left").select(F.col("node").alias("linked"), "n_links", F.coalesce("class", "node").alias("class")), "classes")
-    every = described.select("doc_id", "text_hash", "node").join(known, F.col("node") == F.col("linked"), "left").select(
+    return described.select("doc_id", "text_hash", "node").join(known, F.col("node") == F.col("linked"), "left").select(
         "doc_id", "text_hash", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
-    return materialize(every, "membership")
 
 
 def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -363,11 +367,17 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The row with the least doc_id of each class, with all its columns."""
-    found = membership(docs, threshold)
-    kept = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("hash"))
-    kept = materialize(kept, "kept")
+    with scratch(docs.sparkSession) as keep:
+        found = membership(docs, threshold)
+        kept = keep(materialize(_kept(found), "kept"))
     names = docs.columns
     # columns go by their place, so that none can clash with the keys
     own = docs.select(docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("own_hash"), *(docs[c].alias(f"c{i}") for i, c in enumerate(names)))
     joined = own.join(kept, own["own_hash"].eqNullSafe(kept["hash"]) & own["own_id"].eqNullSafe(kept["id"]), "left_semi")
     return joined.dropDuplicates(["own_id", "own_hash"]).drop("own_id", "own_hash").toDF(*names)
+
+
+def _kept(found: DataFrame) -> DataFrame:
+    """id and hash of the text that stays of each class."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")
+    return found.groupBy("class").agg(least).select(F.col("k.doc_id").alias("id"), F.col("k.text_hash").alias("hash"))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship
+from ..session import materialize, scratch, ship
 from .bpe import encoder
 from .common import Batches, lean, slices
 
@@ -190,10 +190,8 @@ def _parts(vocabulary: str, end_id: int):
     return run
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row a piece."""
-    ship(docs.sparkSession)
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_hash"), docs["text"])
+def _pieces(own: DataFrame, vocabulary: str, window: int, end_id: int) -> DataFrame:
+    """All pieces; the checksums of cut remainders are null."""
     measured = materialize(own.mapInArrow(lean(_measured(vocabulary, window, end_id), vocabulary=True), MEASURED), "measured")
     counts = materialize(measured.where("rest > 0").groupBy("rest", "part").agg(F.count("*").alias("many")), "rest-counts")
     # at most window - 1 rows, whatever the corpus
@@ -201,7 +199,15 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, end_id:
     before = F.sum("many").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     begins = counts.select("rest", "part", F.coalesce(before, F.lit(0)).alias("begin"))
     numbered = measured.join(begins, ["rest", "part"], "left").withColumn("number", F.col("begin") + F.col("k"))
-    pieces = materialize(numbered.mapInArrow(lean(_placed(made)), PIECE), "pieces")
+    return numbered.mapInArrow(lean(_placed(made)), PIECE)
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row a piece."""
+    ship(docs.sparkSession)
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_hash"), docs["text"])
+    with scratch(docs.sparkSession) as keep:
+        pieces = keep(materialize(_pieces(own, vocabulary, window, end_id), "pieces"))
     cut = pieces.where("ids_crc32 is null")
     wanted = cut.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("parts")).withColumnsRenamed({"doc_id": "at", "text_hash": "hash"})
     texts = own.join(wanted, own["doc_id"].eqNullSafe(wanted["at"]) & (own["text_hash"] == wanted["hash"])).select("doc_id", "text_hash", "text", "parts")

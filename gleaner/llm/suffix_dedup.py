@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship
+from ..session import materialize, scratch, ship
 from .common import Batches, lean, slices
 from .ngram_join import mix, word_hashes
 
@@ -430,15 +430,23 @@ def removed_spans(ranges: list[tuple[int, int]], span: int = SPAN) -> list[tuple
 CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: int, end: int>>, kept binary, n_passage_words long"
 
 
+def _marked(ranges: DataFrame, passages: DataFrame) -> DataFrame:
+    """One row a text: its repeated windows, and its words in shared passages."""
+    none = F.lit(None)
+    both = ranges.withColumn("words", none.cast("long")).unionAll(passages.select("__doc", "text_hash", none.cast(ranges.schema["ranges"].dataType).alias("ranges"), "words"))
+    return both.groupBy("__doc", "text_hash").agg(F.first("ranges", ignorenulls=True).alias("ranges"), F.max("words").alias("words"))
+
+
 def remove_repeats(docs: DataFrame, collection: int = COLLECTION) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (byte offsets) and the kept bytes: cuts
     may fall within a character, so these are binary. ``n_passage_words`` counts the
     words of passages of more than 50 words that a document of another id shares."""
     own = _own(docs)
-    none = F.lit(None)
-    ranges = repeated_ranges(docs, collection)
-    found = ranges.withColumn("words", none.cast("long")).unionAll(shared_passages(docs).select("__doc", "text_hash", none.cast(ranges.schema["ranges"].dataType).alias("ranges"), "words"))
-    found = materialize(found.groupBy("__doc", "text_hash").agg(F.first("ranges", ignorenulls=True).alias("ranges"), F.max("words").alias("words")), "ranges").withColumnsRenamed({"__doc": "at", "text_hash": "hash"})
+    with scratch(docs.sparkSession) as keep:
+        with scratch(docs.sparkSession) as hand_on:
+            ranges = hand_on(materialize(repeated_ranges(docs, collection), "byte-ranges"))
+        found = keep(materialize(_marked(ranges, shared_passages(docs)), "ranges"))
+    found = found.withColumnsRenamed({"__doc": "at", "text_hash": "hash"})
     joined = own.join(found, own["__doc"].eqNullSafe(found["at"]) & (own["text_hash"] == found["hash"]), "left").select("__doc", "text", "ranges", F.coalesce("words", F.lit(0)).alias("words"))
 
     def run(batches: Batches) -> Batches:
