@@ -25,7 +25,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections import deque
+from array import array
 
 import numpy as np
 
@@ -45,10 +45,10 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Automaton:
-    """Merges compiled by successive merge gadgets."""
+    """Merges compiled by successive merge gadgets. Pairs of small numbers are keys
+    of one integer, so that the tables stay small; ``MEMO`` bounds the tabulated part."""
 
-    MEMO = 150_000
-    LONG = 256
+    MEMO = 80_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -57,34 +57,40 @@ class Automaton:
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.labels: dict[int, bytes] = {i: bytes(symbols[c] for c in t) for t, i in vocab.items()}
         self.specials: dict[str, int] = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.labels |= {i: t.encode() for t, i in self.specials.items()}
-        self.removed: dict[tuple[int, int], int] = {}
+        self.removed: dict[int, int] = {}
         self.born: dict[int, int] = {vocab[s]: -1 for s in symbols}
         self.parts: dict[int, tuple[int, int]] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
         self._build_trie({self.labels[t]: t for t in self.born})
+        self.labels |= {i: t.encode() for t, i in self.specials.items()}
+        self.ids: dict[tuple, int] = {}
+        self.states: list[tuple[int, tuple[int, ...]]] = []
+        self.table: dict[int, int] = {}
+        self.final: list[int] = []
         self._forget()
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
-        self.removed[a, b] = rank
+        """Takes arc ``b`` from the state behind ``a`` and lays ``c`` beside ``a``."""
+        self.removed[a << 32 | b] = rank
         self.parts[c] = (a, b)
         self.born[c] = rank
 
     def has_arc(self, state: int, arc: int) -> bool:
         """Whether, after all gadgets, ``arc`` leaves the state behind token ``state``."""
-        known = self.arcs.get((state, arc))
+        key = state << 32 | arc
+        known = self.arcs.get(key)
         if known is None:
-            known = self.arcs[state, arc] = self._arc_at(state, arc, len(self.parts) + 1)
-            if len(self.arcs) > 1_000_000:
+            if len(self.arcs) > 4 * self.MEMO:
                 self.arcs.clear()
+            known = self.arcs[key] = self._arc_at(state, arc, len(self.parts) + 1)
         return known
 
     def _arc_at(self, state: int, arc: int, time: int) -> bool:
         while True:
-            gone = self.removed.get((state, arc))
+            gone = self.removed.get(state << 32 | arc)
             if gone is not None and gone < time:
                 return False
             ours, its = self.born[state], self.born[arc]
@@ -103,37 +109,32 @@ class Automaton:
 
     def _build_trie(self, tokens: dict[bytes, int]) -> None:
         """Suffix links over the labels: which labels end at a byte."""
-        child: list[dict[int, int]] = [{}]
-        ends: list[int] = [START]
+        child: dict[int, int] = {}  # node << 8 | byte
+        ends, parent, depth = [START], [(0, 0)], [0]
         for label, token in tokens.items():
             at = 0
             for b in label:
-                step = child[at].get(b)
+                step = child.get(at << 8 | b)
                 if step is None:
-                    step = child[at][b] = len(child)
-                    child.append({})
+                    step = child[at << 8 | b] = len(ends)
                     ends.append(START)
+                    parent.append((at, b))
+                    depth.append(depth[at] + 1)
                 at = step
             ends[at] = token
-        link, depth = [0] * len(child), [0] * len(child)
-        queue = deque([0])
-        while queue:
-            at = queue.popleft()
-            for b, step in child[at].items():
-                depth[step] = depth[at] + 1
-                if at:
-                    back = link[at]
-                    while back and b not in child[back]:
-                        back = link[back]
-                    link[step] = child[back].get(b, 0)
-                queue.append(step)
-        self.child, self.ends, self.link, self.depth = child, ends, link, depth
+        link = [0] * len(ends)
+        for node in sorted(range(1, len(ends)), key=depth.__getitem__):
+            above, b = parent[node]
+            if above:
+                back = link[above]
+                while back and back << 8 | b not in child:
+                    back = link[back]
+                link[node] = child.get(back << 8 | b, 0)
+        self.child, self.ends, self.link, self.depth = child, array("i", ends), array("i", link), array("i", depth)
 
     def _forget(self) -> None:
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple[int, tuple[int, ...]]] = []
-        self.table: list[dict[int, int]] = []
-        self.final: list[int] = []
+        for held in (self.ids, self.states, self.table, self.final):
+            held.clear()
         self._state(0, (START,))
 
     def _state(self, node: int, history: tuple[int, ...]) -> int:
@@ -142,22 +143,21 @@ class Automaton:
         if known is None:
             known = self.ids[key] = len(self.states)
             self.states.append(key)
-            self.table.append({})
             self.final.append(history[-1])
         return known
 
     def _advance(self, node: int, byte: int) -> int:
-        while node and byte not in self.child[node]:
+        while node and node << 8 | byte not in self.child:
             node = self.link[node]
-        return self.child[node].get(byte, 0)
+        return self.child.get(node << 8 | byte, 0)
 
-    def _last(self, node: int, history, size: int) -> int:
+    def _last(self, node: int, history: tuple[int, ...]) -> int:
         """The token that ends here: the one whose arc leaves the state where it starts.
-        ``history`` holds the last tokens up to before this byte, ``size`` is its length."""
+        ``history`` holds the last tokens up to before this byte."""
         while node:
             token = self.ends[node]
             if token >= 0:
-                before = history[size - self.depth[node]]
+                before = history[-self.depth[node]]
                 if before == START or self.has_arc(before, token):
                     return token
             node = self.link[node]
@@ -165,23 +165,24 @@ class Automaton:
 
     def _tabulate(self, state: int, byte: int) -> int:
         node, history = self.states[state]
+        if len(self.states) > self.MEMO:  # begin the table anew from this state
+            self._forget()
+            state = self._state(node, history)
         at = self._advance(node, byte)
-        token = self._last(at, history, len(history))
+        token = self._last(at, history)
         following = self._state(at, (*history, token)[-(self.depth[at] + 1) :])
-        self.table[state][byte] = following
+        self.table[state << 8 | byte] = following
         return following
 
     def encode_word(self, word: bytes) -> list[int]:
-        if len(word) > self.LONG:
-            last = self._lasts(word)
-        else:
-            if len(self.states) > self.MEMO:
-                self._forget()
-            table, final, state, last = self.table, self.final, 0, [START]
-            for b in word:
-                following = table[state].get(b)
-                state = self._tabulate(state, b) if following is None else following
-                last.append(final[state])
+        """One table step a byte, one step back a token; words of any length."""
+        if len(self.states) > self.MEMO:
+            self._forget()
+        table, final, state, last = self.table, self.final, 0, array("i", [START])
+        for b in word:
+            following = table.get(state << 8 | b)
+            state = self._tabulate(state, b) if following is None else following
+            last.append(final[state])
         out, at, labels = [], len(word), self.labels
         while at:
             token = last[at]
@@ -190,14 +191,6 @@ class Automaton:
         out.reverse()
         return out
 
-    def _lasts(self, word: bytes) -> list[int]:
-        """As the table does it, without keeping states: for very long words."""
-        node, last = 0, [START]
-        for b in word:
-            node = self._advance(node, b)
-            last.append(self._last(node, last, len(last)))
-        return last
-
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
 
@@ -243,20 +236,24 @@ def split_points(codes: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts in batches; memory is bounded by CHUNK and SLOTS."""
+    """Encodes texts in batches; memory is bounded by CHUNK, SLOTS and HELD ids.
+
+    Known words are found by one 64-bit hash and confirmed by a second,
+    independent one; a word that only shares the first is encoded by itself.
+    """
 
-    CHUNK = 500_000
-    SLOTS = 1 << 22
-    BASE = np.uint64(0x9E3779B97F4A7C15)
+    CHUNK = 200_000
+    SLOTS = 1 << 20
+    HELD = 1 << 21
+    BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
     WIDE = 48  # longer words are not hashed
 
     def __init__(self, path: str):
         self.automaton = Automaton(path)
-        inverse = pow(int(self.BASE), -1, 1 << 64)
         size = self.CHUNK * 2
         with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.full(size, self.BASE, np.uint64))
-            self.inverse = np.cumprod(np.full(size, inverse, np.uint64))
+            self.power = [np.cumprod(np.full(size, b, np.uint64)) for b in self.BASES]
+            self.inverse = [np.cumprod(np.full(size, pow(b, -1, 1 << 64), np.uint64)) for b in self.BASES]
         self.special = re.compile("(" + "|".join(map(re.escape, self.automaton.specials)) + ")") if self.automaton.specials else None
         self._reset()
 
@@ -264,19 +261,19 @@ class Encoder:
         self.keys = np.zeros(self.SLOTS, np.uint64)
         self.slot_word = np.full(self.SLOTS, -1, np.int32)
         self.n_words = 0
-        self.offsets = np.zeros(1 << 16, np.int64)
-        self.lengths = np.zeros(1 << 16, np.int32)
-        self.flat = np.zeros(1 << 18, np.uint16 if max(self.automaton.labels) < 65536 else np.uint32)
+        self.offsets = np.zeros(1 << 14, np.int64)
+        self.lengths = np.zeros(1 << 14, np.int32)
+        self.checks = np.zeros(1 << 14, np.uint64)
+        self.flat = np.zeros(1 << 16, np.uint16 if max(self.automaton.labels) < 65536 else np.uint32)
         self.used = 0
 
-    def _add(self, ids: list[int]) -> int:
+    def _add(self, ids: list[int], check: int = 0) -> int:
         if self.n_words == len(self.offsets):
-            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.offsets, self.lengths, self.checks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offsets, self.lengths, self.checks))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.offsets[self.n_words], self.lengths[self.n_words] = self.used, len(ids)
+        self.offsets[self.n_words], self.lengths[self.n_words], self.checks[self.n_words] = self.used, len(ids), check
         self.used += len(ids)
         self.n_words += 1
         return self.n_words - 1
@@ -300,9 +297,15 @@ class Encoder:
             slot = (slot + 1) & (self.SLOTS - 1)
         self.keys[slot], self.slot_word[slot] = key, word
 
+    def _hashes(self, which: int, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.power[which][: len(codes)], out=total[1:])
+        found = (total[ends] - total[starts]) * self.inverse[which][starts]
+        return found ^ (found >> np.uint64(29)) + (ends - starts).astype(np.uint64)
+
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without special tokens or SEPARATOR."""
-        if self.n_words > self.SLOTS // 3 or self.used > 1 << 25:
+        if self.n_words > self.SLOTS // 3 or self.used > self.HELD:
             self._reset()
         joined = SEPARATOR.join(texts) + SEPARATOR
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -311,34 +314,29 @@ class Encoder:
         close = codes[starts] == ord(SEPARATOR)
         text_of = np.cumsum(close)[~close]
         starts, ends = starts[~close], ends[~close]
-        size = ends - starts
-        if len(codes) > len(self.power):
-            size = np.full_like(size, self.WIDE + 1)  # one very long text: no hashing beyond the tables
-            total = np.zeros(len(codes) + 1, np.uint64)
-            hashes = np.zeros(len(starts), np.uint64)
-        else:
-            total = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.power[: len(codes)], out=total[1:])
-            hashes = (total[ends] - total[starts]) * self.inverse[starts]
-            hashes ^= (hashes >> np.uint64(29)) + size.astype(np.uint64)
-        word = np.where(size <= self.WIDE, self._find(hashes), -1)
-        unknown = np.flatnonzero(word < 0)
-        if len(unknown):
-            narrow = unknown[size[unknown] <= self.WIDE]
-            if len(narrow):
-                keys, first, back = np.unique(hashes[narrow], return_index=True, return_inverse=True)
+        hashed = ends - starts <= self.WIDE
+        if len(codes) > len(self.power[0]):
+            hashed[:] = False  # one very long text: no hashing beyond the tables
+        word = np.full(len(starts), -1, np.int64)
+        if hashed.any():
+            hashes, checks = (self._hashes(which, codes, starts, ends) for which in range(2))
+            word[hashed] = self._find(hashes[hashed])
+            new = np.flatnonzero((word < 0) & hashed)
+            if len(new):
+                keys, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
                 numbers = np.empty(len(keys), np.int64)
                 encode = self.automaton.encode_word
-                for k, i in enumerate(narrow[first].tolist()):
-                    numbers[k] = self._add(encode(joined[starts[i] : ends[i]].encode()))
+                for k, i in enumerate(new[first].tolist()):
+                    numbers[k] = self._add(encode(joined[starts[i] : ends[i]].encode()), int(checks[i]))
                     self._put(int(keys[k]), int(numbers[k]))
-                word[narrow] = numbers[back]
-            wide: dict[str, int] = {}
-            for i in unknown[size[unknown] > self.WIDE].tolist():
-                w = joined[starts[i] : ends[i]]
-                if w not in wide:
-                    wide[w] = self._add(self.automaton.encode_word(w.encode()))
-                word[i] = wide[w]
+                word[new] = numbers[back]
+            word[hashed & (self.checks[word] != checks)] = -1
+        alone: dict[str, int] = {}
+        for i in np.flatnonzero(word < 0).tolist():
+            w = joined[starts[i] : ends[i]]
+            if w not in alone:
+                alone[w] = self._add(self.automaton.encode_word(w.encode()))
+            word[i] = alone[w]
         n = self.lengths[word].astype(np.int64)
         stop = np.cumsum(n)
         flat = self.flat[np.repeat(self.offsets[word] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
@@ -405,7 +403,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process, kept between tasks."""
+    """One per worker process; ``common.lean`` lets it go when another operator's task begins."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

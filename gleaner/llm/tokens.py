@@ -9,13 +9,13 @@ name.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship
 from .bpe import encoder
+from .common import Batches, lean, slices
 
 
 def _kinds(df: DataFrame) -> str:
@@ -27,12 +27,12 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     ship(docs.sparkSession)
     base = docs.drop("ids")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in slices(batches):
             ids = encoder(vocabulary).encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
 
-    return base.mapInArrow(run, f"{_kinds(base)}, ids array<int>")
+    return base.mapInArrow(lean(run, vocabulary=True), f"{_kinds(base)}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -40,13 +40,13 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     ship(encoded.sparkSession)
     base = encoded.drop("decoded")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in slices(batches):
             decode = encoder(vocabulary).automaton.decode
             texts = [None if x is None else decode(x).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return base.mapInArrow(run, f"{_kinds(base)}, decoded string")
+    return base.mapInArrow(lean(run, vocabulary=True), f"{_kinds(base)}, decoded string")
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -54,8 +54,8 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     both operators fused, so that ids never leave the Python worker."""
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Batches) -> Batches:
+        for batch in slices(batches):
             own = encoder(vocabulary)
             ids = own.encode(batch.column("text").to_pylist())
             sizes = [len(x) for x in ids]
@@ -63,4 +63,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
             back = [hashlib.sha256(own.automaton.decode(x.tolist()).decode("utf-8", "replace").encode()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sha), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(lean(run, vocabulary=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
