@@ -1,6 +1,7 @@
 """WARC as a Python data source: writer and reader.
 
-Writer: one archive per task, one gzip member per record. A member's extra field
+Writer: archives of at most ``ROLL`` bytes and a record, so that a reader can deal
+them out; one gzip member per record. A member's extra field
 (``WL``) holds its length, so a reader steps over records without inflating them;
 other tools ignore it. Archives have attempt-unique names and only those in the
 manifest that the driver commits count: a lost executor leaves no records behind.
@@ -11,9 +12,15 @@ first inflated bytes. Predicates on header columns (``record_type``, ``page_id``
 ``target_uri``, ``payload_digest``, ``refers_to``), pushed down by Spark or given as
 options ``record_type`` and ``uri_prefix``, are tested there; payloads of other
 records are neither inflated further nor decoded. ``payload=false`` returns no
-payloads; ``verify=true`` recomputes digests and lengths from the payloads.
-
-Paths may have any scheme that pyarrow's file systems know.
+payloads; ``verify=true`` recomputes digests and lengths from the payloads. Gzip
+members of other tools may hold any number of records, and records may go across
+members: such a file is inflated as one stream, of which at most a record is held.
+
+Paths may have any scheme that pyarrow's file systems know. Defined cases: an archive
+that ends within a record or a member raises ValueError with its path; an archive
+without records gives no rows; columns of ``pages`` other than page_id, url and html,
+whatever their names, play no part; an empty table gives an empty archive; html of any
+length that Spark holds (below 2 GiB) fits a member.
 """
 
 from __future__ import annotations
@@ -41,6 +48,7 @@ RECORD = "urn:page:"
 MANIFEST = "_manifest.json"
 STAMP = "1970-01-01T00:00:00Z"
 BATCH_BYTES = 8 << 20
+ROLL = 256 << 20
 
 
 def _storage(path: str) -> tuple[pafs.FileSystem, str]:
@@ -85,7 +93,7 @@ def member(data: bytes, level: int = 1) -> bytes:
 
 @dataclass
 class Written(ds.WriterCommitMessage):
-    name: str | None
+    names: list[str]
 
 
 class Writer(ds.DataSourceArrowWriter):
@@ -94,32 +102,36 @@ class Writer(ds.DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _storage(self.path)
-        out, name = None, f"part-{uuid.uuid4().hex}.warc.gz"
+        out, names = None, []
         try:
             for batch in iterator:
-                if out is None:
-                    fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 columns = [batch.column(c) for c in ("page_id", "url", "html", "refers_to", "revisit")]
                 for i in range(batch.num_rows):
+                    if out is not None and out.tell() >= ROLL:
+                        out.close()
+                        out = None
+                    if out is None:
+                        names.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                        fs.create_dir(root, recursive=True)
+                        out = fs.open_output_stream(f"{root}/{names[-1]}", compression=None)
                     page_id, uri, html, refers_to, revisit = (c[i].as_py() for c in columns)
                     out.write(member(record(page_id, uri, (html or "").encode(), refers_to, revisit)))
         finally:
             if out is not None:
                 out.close()
-        return Written(name if out is not None else None)
+        return Written(names)
 
     def commit(self, messages: list) -> None:
         fs, root = _storage(self.path)
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
-            f.write(json.dumps([m.name for m in messages if m and m.name]).encode())
+            f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
 
     def abort(self, messages: list) -> None:
         fs, root = _storage(self.path)
         for m in messages:
-            if m and m.name:
-                fs.delete_file(f"{root}/{m.name}")
+            for name in m.names if m else []:
+                fs.delete_file(f"{root}/{name}")
 
 
 @dataclass
@@ -127,46 +139,96 @@ class Archive(ds.InputPartition):
     path: str
 
 
-def _members(f: pa.NativeFile, size: int) -> Iterator[Callable[[int], bytes]]:
-    """For each record, a function that inflates its first n bytes (all: -1)."""
+class Stream:
+    """Bytes of a file's gzip members, or plain ones, one after another from ``at``."""
+
+    STEP = 1 << 16
+
+    def __init__(self, f: pa.NativeFile, at: int, path: str):
+        f.seek(at)
+        self.file, self.path = f, path
+        self.held, self.rest, self.inflater = bytearray(), b"", None
+        self.zipped = None
+
+    def _more(self) -> bool:
+        raw = self.rest or self.file.read(self.STEP)
+        if self.inflater is None or self.inflater.eof:
+            if self.zipped:
+                raw = raw.lstrip(b"\0")  # padding between members
+            if not raw:
+                return False
+            if self.zipped is None:
+                self.zipped = raw[:2] == b"\x1f\x8b"
+            self.inflater = zlib.decompressobj(31) if self.zipped else None
+        elif not raw:
+            raise ValueError(f"{self.path} ends within a gzip member")
+        if not self.zipped:
+            self.held += raw
+            return True
+        self.held += self.inflater.decompress(raw, 1 << 20)
+        self.rest = self.inflater.unused_data if self.inflater.eof else self.inflater.unconsumed_tail
+        return True
+
+    def first(self, n: int) -> bytes:
+        """The next n bytes (fewer at the end), which stay."""
+        while len(self.held) < n and self._more():
+            pass
+        return bytes(self.held[:n])
+
+    def skip(self, n: int) -> None:
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held.clear()
+            if not self._more():
+                raise ValueError(f"{self.path} ends within a record")
+        del self.held[:n]
+
+
+def _head(first: Callable[[int], bytes], path: str) -> bytes | None:
+    """A record's headers with the blank line that ends them; None at the end."""
+    n = 2048
+    while b"\r\n\r\n" not in (head := first(n)):
+        if len(head) < n:
+            if head.strip(b"\r\n"):
+                raise ValueError(f"{path} ends within a record's headers")
+            return None
+        n *= 4
+    return head[: head.index(b"\r\n\r\n") + 4]
+
+
+def _records(f: pa.NativeFile, size: int, path: str) -> Iterator[tuple[bytes, Callable[[], bytes]]]:
+    """Headers of each record, and a function that gives its block."""
     at = 0
     while at < size:
         f.seek(at)
-        head = f.read(20)
-        if head[:4] == b"\x1f\x8b\x08\x04" and head[12:14] == b"WL":
-            length = struct.unpack("<I", head[16:20])[0]
-
-            def inflate(n: int, at: int = at, length: int = length) -> bytes:
-                f.seek(at)
-                raw = f.read(length if n < 0 else min(length, n))
-                return zlib.decompressobj(31).decompress(raw, 0 if n < 0 else n)
-
-            yield inflate
-            at += length
-        elif head[:2] == b"\x1f\x8b":  # a foreign member: its end is known once it is inflated
+        mark = f.read(20)
+        if not (mark[:4] == b"\x1f\x8b\x08\x04" and mark[12:14] == b"WL"):
+            break
+        length = struct.unpack("<I", mark[16:20])[0]
+        if at + length > size:
+            raise ValueError(f"{path} ends within a gzip member")
+
+        def first(n: int, at: int = at, length: int = length) -> bytes:
             f.seek(at)
-            stream, parts = zlib.decompressobj(31), []
-            used = 0
-            while not stream.eof and (raw := f.read(1 << 20)):
-                parts.append(stream.decompress(raw))
-                used += len(raw)
-            data = b"".join(parts)
-            yield lambda n, data=data: data if n < 0 else data[:n]
-            at += used - len(stream.unused_data)
-        else:  # not compressed: headers tell the length
-            head, n = b"", 4096
-            while b"\r\n\r\n" not in head and len(head) < size - at:
-                f.seek(at)
-                head, n = f.read(min(n, size - at)), n * 2
-            cut = head.index(b"\r\n\r\n") + 4
-            length = cut + int(_headers(head[:cut])["content-length"]) + 4
-
-            def plain(n: int, at: int = at, length: int = length) -> bytes:
-                f.seek(at)
-                return f.read(length if n < 0 else min(n, length))
-
-            yield plain
-            at += length
+            return zlib.decompressobj(31).decompress(f.read(length if n < 0 else min(length, n)), max(0, n))
+
+        head = _head(first, path)
+        if head is not None:
+            yield head, lambda first=first, head=head: first(-1)[len(head) :]
+        at += length
+    else:
+        return
+    stream = Stream(f, at, path)
+    while True:
+        while stream.first(2) == b"\r\n":  # blank lines between records
+            stream.skip(2)
+        head = _head(stream.first, path)
+        if head is None:
+            return
+        length = int(_headers(head)["content-length"])
+        stream.skip(len(head))
+        yield head, lambda: stream.first(length)
+        stream.skip(length)
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -236,12 +298,8 @@ class Reader(ds.DataSourceReader):
         rows, held = [], 0
         size = fs.get_file_info(path).size
         with fs.open_input_file(path) as f:
-            for inflate in _members(f, size):
-                n, head = 2048, b""
-                while b"\r\n\r\n" not in (head := inflate(n)) and len(head) == n:
-                    n *= 4
-                cut = head.index(b"\r\n\r\n") + 4
-                h = _headers(head[:cut])
+            for head, block_of in _records(f, size, partition.path):
+                h = _headers(head)
                 row = {
                     "page_id": _number(h.get("warc-record-id")),
                     "record_type": h.get("warc-type"),
@@ -254,7 +312,7 @@ class Reader(ds.DataSourceReader):
                 if not _passes(row, self.tests):
                     continue
                 if row["record_type"] != "revisit" and (self.payload or self.verify):
-                    block = inflate(-1)[cut : cut + int(h["content-length"])]
+                    block = block_of()[: int(h["content-length"])]
                     body = block.partition(b"\r\n\r\n")[2] if h.get("content-type", "").startswith("application/http") else block
                     if self.verify:
                         row |= {"payload_digest": digest(body), "payload_bytes": len(body)}
