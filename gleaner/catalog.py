@@ -125,7 +125,8 @@ def url_dedupe_first(spark, sf_dir):
     return searching.first_of_each(hits).select("page_id", urls.dedup_key(F.col("url")).alias("dedup_key"))
 
 
-_PATH_WORDS = f"flatten(list_transform(list_filter(string_split({sql.PATH}, '/'), lambda s: s <> ''), lambda s: {sql.tokens(chr(114) + chr(101) + 'place(s, ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ')')}))"
+_WITHOUT_DASHES = "replace(s, '-', ' ')"
+_PATH_WORDS = f"flatten(list_transform(list_filter(string_split({sql.PATH}, '/'), lambda s: s <> ''), lambda s: {sql.tokens(_WITHOUT_DASHES)}))"
 
 
 @query(f"SELECT page_id, array_to_string({_PATH_WORDS}, ' ') AS words FROM pages")

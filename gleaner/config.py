@@ -11,11 +11,18 @@ class Bm25:
     b: float = 0.75
 
 
+@dataclass(frozen=True)
+class Tokens:
+    stop_words: bool = True  # leave them out
+    min_length: int = 2
+
+
 @dataclass(frozen=True)
 class Ranker:
     bm25_weight: float = 0.6
     heuristic_weight: float = 0.4
     mode: str = "strict"  # or "search", which asks for less
+    weights: dict[str, float] = field(default_factory=dict)  # of heuristics by name, where others than usual
 
 
 @dataclass(frozen=True)
@@ -58,6 +65,7 @@ class Quality:
 
 @dataclass(frozen=True)
 class Extraction:
+    tokens: Tokens = field(default_factory=Tokens)
     bm25: Bm25 = field(default_factory=Bm25)
     ranker: Ranker = field(default_factory=Ranker)
     anchors: Anchors = field(default_factory=Anchors)

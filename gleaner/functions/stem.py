@@ -9,9 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_STEP2 = dict(zip("ational tional enci anci izer bli alli entli eli ousli ization ation ator alism iveness fulness ousness aliti iviti biliti logi".split(), "ate tion ence ance ize ble al ent e ous ize ate ate al ive ful ous al ive ble log".split()))
+# Endings and what takes their place.
+_STEP2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log",
+}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-_STEP4 = sorted("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split(), key=len, reverse=True)
+_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
 def _shape(word: str) -> str:
@@ -66,7 +69,7 @@ def stem(word: str) -> str:
     if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
     word = _swap(_swap(word, _STEP2), _STEP3)
-    for ending in _STEP4:
+    for ending in sorted(_STEP4, key=len, reverse=True):
         if word.endswith(ending):
             base = word[: -len(ending)]
             if _measure(base) > 1 and (ending != "ion" or base[-1:] in ("s", "t")):

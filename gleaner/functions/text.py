@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 # White space, stop words and abbreviations.
 SPACES = [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
-STOP_WORDS = """
-a an and are as at be by for from has he in is it its of on that the to was were will with this but they
-have had what when where who which why how all each every both few more most other some such no nor not
-only own same so than too very can just should now or if then else been being do does did doing would
-could might must shall may about above after again against below between into through during before
-under over out up down off once here there any your you we our us i me my myself him her them their his
-she itself
-""".split()
-ABBREVIATIONS = "mr mrs ms dr prof sr jr vs etc inc ltd st ave blvd rd cf al fig vol no".split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was",
+    "were", "will", "with", "this", "but", "they", "have", "had", "what", "when", "where", "who", "which", "why", "how", "all", "each", "every",
+    "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "can", "just",
+    "should", "now", "or", "if", "then", "else", "been", "being", "do", "does", "did", "doing", "would", "could", "might", "must", "shall", "may",
+    "about", "above", "after", "again", "against", "below", "between", "into", "through", "during", "before", "under", "over", "out", "up", "down",
+    "off", "once", "here", "there", "any", "your", "you", "we", "our", "us", "i", "me", "my", "myself", "him", "her", "them", "their", "his", "she",
+    "itself",
+]
+ABBREVIATIONS = [
+    "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "vs", "etc", "inc", "ltd", "st", "ave", "blvd", "rd", "cf", "al", "fig", "vol", "no",
+]
 
 _MEMBERS = "".join(map(chr, SPACES))
 SPACE = f"[{_MEMBERS}]"
-_HELD = chr(2)  # stands for a blank that does not end a sentence
 
 
 def utf16_length(c: Column) -> Column:
@@ -53,8 +55,8 @@ def tokens(c: Column, stop_words: bool = True, min_length: int = 2) -> Column:
 
 def sentences(c: Column) -> Column:
     """Splits after . ! ? before a blank and A-Z, but not after abbreviations."""
-    held = F.regexp_replace(collapse(c), rf"(?i)(?<![A-Za-z0-9_])({'|'.join(ABBREVIATIONS)})\. (?-i:(?=[A-Z]))", f"$1.{_HELD}")
-    return F.filter(F.transform(F.split(held, "(?<=[.!?]) (?=[A-Z])"), lambda s: F.btrim(F.replace(s, F.lit(_HELD), F.lit(" ")))), lambda s: s != "")
+    end = rf"(?<=[.!?])(?<!(?<![A-Za-z0-9_])(?i:{'|'.join(ABBREVIATIONS)})\.) (?=[A-Z])"
+    return F.filter(F.transform(F.split(collapse(c), end), F.btrim), lambda s: s != "")
 
 
 def clean_code(c: Column) -> Column:

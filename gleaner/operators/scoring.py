@@ -181,6 +181,33 @@ def relevant(mode: str, best: Column, cover: Column, together: Column, central:
     return (together >= 2) & (best > 1.0) | central & (best > 0.8) | (cover >= 0.8) & (best > 0.5)
 
 
+def matches(postings: DataFrame, stats: DataFrame, c: Bm25 = Bm25(), mode: str = "strict", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``relevance`` from postings (keys, at, nth, n_terms, term, tf, size): a narrow row
+    for each token of a query, by its place ``nth``, and sentence ``at`` that holds it.
+    ``stats`` has n and avgdl by page. Groups without a match have no row."""
+    page, c_ = [k for k in keys if k != "query_id"], F.col
+    df = F.count("*").over(Window.partitionBy(*keys, "nth"))
+    rows = postings.join(stats, page).withColumn("df", df)
+    norm = c.k1 * (1 - c.b + c.b * _ratio(c_("size").cast("double"), c_("avgdl")))
+    gain = idf(c_("n"), c_("df")) * (c_("tf") * (c.k1 + 1)) / (c_("tf") + norm)
+    # summed in the order of the query's tokens, as bm25() does
+    held = rows.groupBy(*keys, "at").agg(
+        F.array_sort(F.collect_list(F.struct("nth", gain.alias("gain")))).alias("gains"), F.count_distinct("term").alias("together"),
+        F.max("df").alias("df"), F.any_value("n").alias("n"), F.any_value("n_terms").alias("n_terms"), F.collect_set("term").alias("terms"),
+    )
+    best = F.max(F.aggregate("gains", F.lit(0.0), lambda total, g: total + g["gain"]))
+    found = held.groupBy(*keys).agg(
+        F.any_value("n").alias("n"), F.greatest(F.lit(0.0), best).alias("max_bm25"), F.max("together").cast("int").alias("cooccurrence"), F.max("df").alias("df"),
+        F.any_value("n_terms").alias("n_terms"), F.size(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("n_found"),
+    )
+    return (
+        found.withColumn("coverage", c_("n_found").cast("double") / c_("n_terms"))
+        .withColumn("has_central", c_("df") >= F.greatest(F.lit(3.0), c_("n") * 0.1))
+        .withColumn("relevant", relevant(mode, c_("max_bm25"), c_("coverage"), c_("cooccurrence"), c_("has_central")))
+        .select(*keys, "n", "max_bm25", "coverage", "cooccurrence", "has_central", "relevant")
+    )
+
+
 def relevance(rows: DataFrame, stats: DataFrame, mode: str = "strict", keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One row a group: n, max_bm25, coverage, cooccurrence, has_central, relevant."""
     joined = rows if "raw_bm25" in rows.columns else rows.join(stats, list(keys)).withColumn("raw_bm25", bm25())
@@ -204,6 +231,8 @@ def relevance(rows: DataFrame, stats: DataFrame, mode: str = "strict", keys: tup
 def heuristics(rows: DataFrame, keys: tuple[str, ...] = KEYS, weights: dict[str, float] | None = None) -> DataFrame:
     """Adds the nine scores (h_*) and their weighted sum to rows that hold q, the
     page statistics, ``at`` (the sentence's place) and path_tokens."""
+    if unknown := set(weights or ()) - set(WEIGHTS):
+        raise ValueError(f"no such heuristics: {sorted(unknown)}")
     w = group(keys)
     near = rows.withColumn("raw_density", raw_density()).withColumn("density_median", F.median("raw_density").over(w))
     near = near.withColumn("density_mad", F.greatest(F.lit(0.001), F.median(F.abs(F.col("raw_density") - F.col("density_median"))).over(w)))
@@ -225,6 +254,6 @@ def ranked(rows: DataFrame, keys: tuple[str, ...] = KEYS, ranker: Ranker = Ranke
     """All scores of every sentence and its rank in the group."""
     joined = rows.join(page_stats(rows, keys), list(keys)).withColumn("raw_bm25", bm25(c))
     w = group(keys)
-    scored = heuristics(joined, keys).withColumn("bm25_score", normalized(F.col("raw_bm25"), w))
+    scored = heuristics(joined, keys, ranker.weights).withColumn("bm25_score", normalized(F.col("raw_bm25"), w))
     scored = scored.withColumn("combined_score", ranker.bm25_weight * F.col("bm25_score") + ranker.heuristic_weight * F.col("heuristic_score"))
     return scored.withColumn("rank", F.row_number().over(w.orderBy(F.col("combined_score").desc(), "global_index")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Tokens
 from ..functions import text
 from ..functions.stem import stemmed
 
@@ -46,8 +47,8 @@ def page_sentences(blocks: Column) -> Column:
     return F.filter(found, lambda s: s["text"] != "")
 
 
-def sentences(pages: DataFrame, stem: bool = True, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def sentences(pages: DataFrame, stem: bool = True, keep: tuple[str, ...] = ("page_id",), tokens: Tokens = Tokens()) -> DataFrame:
     """One row a sentence: global_index counts from 0 within the page."""
     rows = pages.select(*keep, F.posexplode(page_sentences(F.col("blocks"))).alias("global_index", "s")).select(*keep, "global_index", "s.*")
-    words = text.tokens(F.col("text"))
+    words = text.tokens(F.col("text"), tokens.stop_words, tokens.min_length)
     return rows.withColumn("tokens", stemmed(words) if stem else words)

@@ -8,21 +8,27 @@ misnested inline elements that must not swallow later blocks.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
 # Elements, class and id patterns, texts, selectors and limits.
-DROPPED = """script style link img iframe video audio object embed param applet noscript svg canvas map area
-button input select textarea form label fieldset legend datalist output progress meter""".split()
+DROPPED = [
+    "script", "style", "link", "img", "iframe", "video", "audio", "object", "embed", "param", "applet", "noscript", "svg", "canvas", "map", "area",
+    "button", "input", "select", "textarea", "form", "label", "fieldset", "legend", "datalist", "output", "progress", "meter",
+]
 FRAME_TAGS = {"nav", "footer", "aside", "header"}
-FRAME_PATTERNS = """nav(igation)? footer header sidebar menu breadcrumb cookie consent banner advert(isement)? ads?[-_]?
-social share comment related recommend popup modal newsletter subscribe signup login signin search widget
-toolbar promo""".split()
-CONTROL_PATTERNS = """copy[-_]?(button|link|code|markdown)? share[-_]?(button|link|menu)? action[-_]?(bar|menu|buttons?)
-btn[-_]?(copy|share|action) clipboard open[-_]?in chat[-_]?(gpt|button) ai[-_]?(chat|assistant) feedback
-edit[-_]?(page|this|on[-_]?github) page[-_]?actions? toc|table[-_]?of[-_]?contents on[-_]?this[-_]?page
-sticky[-_]?(nav|sidebar|toc) floating[-_]?(menu|button|action)""".split()
+FRAME_PATTERNS = [
+    "nav(igation)?", "footer", "header", "sidebar", "menu", "breadcrumb", "cookie", "consent", "banner", "advert(isement)?", "ads?[-_]?", "social",
+    "share", "comment", "related", "recommend", "popup", "modal", "newsletter", "subscribe", "signup", "login", "signin", "search", "widget",
+    "toolbar", "promo",
+]
+CONTROL_PATTERNS = [
+    "copy[-_]?(button|link|code|markdown)?", "share[-_]?(button|link|menu)?", "action[-_]?(bar|menu|buttons?)", "btn[-_]?(copy|share|action)",
+    "clipboard", "open[-_]?in", "chat[-_]?(gpt|button)", "ai[-_]?(chat|assistant)", "feedback", "edit[-_]?(page|this|on[-_]?github)",
+    "page[-_]?actions?", "toc|table[-_]?of[-_]?contents", "on[-_]?this[-_]?page", "sticky[-_]?(nav|sidebar|toc)", "floating[-_]?(menu|button|action)",
+]
 CONTROL_TEXTS = [
     r"^copy\s*(as\s*)?(markdown|code|text)?\Z", r"^open\s+in\s+\w+", r"^(share|copy)\s*(this|link|page)?\Z", r"^edit\s*(this\s*)?(page|on\s*github)?\Z",
     r"^(give\s*)?feedback\Z", r"^(scroll\s*to\s*)?top\Z", r"^on\s+this\s+page\Z", r"^table\s+of\s+contents\Z",
@@ -39,6 +45,8 @@ CLOSES_P = set(
 )
 INLINE = set("a abbr b bdi bdo big cite code em font i kbd mark q s samp small span strike strong sub sup tt u var".split())
 SCOPES = {"table", "td", "th", "caption", "button", "object", "html", "template"}
+#: end tags that reach beyond a scope
+OPEN_SCOPES = SCOPES | {"tr", "tbody", "thead", "tfoot"}
 #: opening tag -> (elements it ends, where looking for them stops)
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -85,11 +93,6 @@ class Element:
                 stack.extend(reversed(e.children))
         return "".join(out)
 
-    def remove(self) -> None:
-        if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-            self.parent = None
-
     def names(self) -> str:
         return f"{self.attributes.get('id', '')} {self.attributes.get('class', '')}"
 
@@ -109,6 +112,26 @@ def parse(source: str) -> Element:
     root.children = [head, body]
     at, open_ = 0, [root, body]
     in_head = False
+    # where elements of a tag, and those that are not inline, stand among the open ones: no tag scans them all
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    solid: list[int] = []
+
+    def enter(e: Element) -> None:
+        places[e.tag].append(len(open_))
+        if e.tag not in INLINE:
+            solid.append(len(open_))
+        open_.append(e)
+
+    def leave(i: int) -> None:
+        """Ends the open elements from the i-th on."""
+        for e in reversed(open_[i:]):
+            places[e.tag].pop()
+            if e.tag not in INLINE:
+                solid.pop()
+        del open_[i:]
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     def add(node: Element | str) -> None:
         to = head if in_head else open_[-1]
@@ -125,22 +148,21 @@ def parse(source: str) -> Element:
                 add(unescape(s))
 
     def close(names: set[str], stop: set[str]) -> None:
-        for i in range(len(open_) - 1, 1, -1):
-            if open_[i].tag in names:
-                del open_[i:]
-                return
-            if open_[i].tag in stop:
-                return
+        i = last(names)
+        if i and i > last(stop):
+            leave(i)
 
     def close_paragraph() -> None:
         """Inline elements left open inside the paragraph end with it: what a
         browser reopens after it would only wrap later text, not move it."""
-        for i in range(len(open_) - 1, 1, -1):
-            if open_[i].tag == "p":
-                del open_[i:]
-                return
-            if open_[i].tag in SCOPES:
-                return
+        close({"p"}, SCOPES)
+
+    def end(name: str) -> None:
+        i = last(_HEADINGS if name in _HEADINGS else (name,))
+        if name in INLINE and solid and solid[-1] > i:
+            return  # a stray end of an inline element does not end blocks
+        if i and (name in OPEN_SCOPES or i >= last(SCOPES)):
+            leave(i)
 
     while at < len(source):
         m = _TAG.search(source, at)
@@ -155,17 +177,10 @@ def parse(source: str) -> Element:
         if m[1]:
             if name in ("html", "body", "head"):
                 in_head = in_head and name != "head"
-            elif name == "p" and not any(e.tag == "p" for e in open_):
+            elif name == "p" and not places["p"]:
                 add(Element("p"))
             else:
-                for i in range(len(open_) - 1, 1, -1):
-                    if open_[i].tag == name or name in _HEADINGS and open_[i].tag in _HEADINGS:
-                        del open_[i:]
-                        break
-                    if open_[i].tag not in INLINE and name in INLINE:
-                        break  # a stray end of an inline element does not end blocks
-                    if open_[i].tag in SCOPES and name not in SCOPES | {"tr", "tbody", "thead", "tfoot", "table"}:
-                        break
+                end(name)
             continue
         attributes = {k.lower(): unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[3].rstrip("/") if name in VOID else m[3])}
         if name == "html":
@@ -183,7 +198,7 @@ def parse(source: str) -> Element:
         if name in CLOSES_P:
             close_paragraph()
         if name in _HEADINGS and open_[-1].tag in _HEADINGS:
-            open_.pop()
+            leave(len(open_) - 1)
         if name in IMPLIED:
             close(*IMPLIED[name])
         element = Element(name, attributes)
@@ -191,18 +206,18 @@ def parse(source: str) -> Element:
         if name in VOID:
             continue
         if name in RAW:
-            end = re.compile(f"</{name}[\\s/>]", re.I).search(source, at)
-            stop = end.start() if end else len(source)
+            close_tag = re.compile(f"</{name}[\\s/>]", re.I).search(source, at)
+            stop = close_tag.start() if close_tag else len(source)
             inner = source[at:stop]
             if inner:
                 element.children.append(unescape(inner) if name in DECODED else inner)
-            at = source.find(">", stop) + 1 if end else len(source)
+            at = source.find(">", stop) + 1 if close_tag else len(source)
             at = at or len(source)
             continue
         if name == "svg" and m[3].rstrip().endswith("/"):
             continue
         if not in_head:
-            open_.append(element)
+            enter(element)
             if name == "pre" and source[at : at + 1] == "\n":
                 at += 1
     return root
@@ -223,9 +238,30 @@ def _is_frame(e: Element) -> bool:
 
 
 def _prune(root: Element, goes: Callable[[Element], bool]) -> None:
-    for e in list(root.descendants()):
-        if goes(e):
-            e.remove()
+    """Removes what goes, judged on the tree as it was."""
+    gone = [e for e in root.descendants() if goes(e)]
+    ids, parents = {id(e) for e in gone}, {id(e.parent): e.parent for e in gone}
+    for parent in parents.values():
+        parent.children = [c for c in parent.children if id(c) not in ids]
+
+
+def _short_texts(root: Element, most: int, squeezed: bool = False) -> dict[int, str | None]:
+    """The text of each descendant, None from ``most`` characters on (``squeezed``: runs
+    of white space are one blank, and blanks do not count); from the leaves up."""
+    found: dict[int, str | None] = {}
+    for e in reversed(list(root.descendants())):
+        parts, size = [], 0
+        for c in e.children:
+            part = c if isinstance(c, str) else found[id(c)]
+            if part is not None and squeezed and isinstance(c, str):
+                part = _SPACES.sub(" ", part)
+            size = most if part is None else size + len(part) - (part.count(" ") if squeezed else 0)
+            if size >= most:
+                break
+            parts.append(part)
+        text = None if size >= most else "".join(parts)
+        found[id(e)] = _SPACES.sub(" ", text) if text and squeezed else text
+    return found
 
 
 def _selected(root: Element, selector: str) -> list[Element]:
@@ -243,8 +279,9 @@ def strip_frame(root: Element) -> None:
     holders: set[int] = set()
     for e in [root, *root.descendants()]:
         if e.tag in ("main", "article") or e.attributes.get("role") == "main":
-            kept.add(id(e))
-            kept.update(map(id, e.descendants()))
+            if id(e) not in kept:  # else its descendants are in, too
+                kept.add(id(e))
+                kept.update(map(id, e.descendants()))
             up = e.parent
             while up is not None and id(up) not in holders:
                 holders.add(id(up))
@@ -300,20 +337,37 @@ def _is_control(e: Element) -> bool:
     )
 
 
-def _is_link_list(e: Element) -> bool:
-    links = [x for x in e.descendants() if x.tag == "a"]
-    if len(links) < NAV_LINKS:
-        return False
-    text = len(collapse(e.text()))
-    return sum(len(a.text()) for a in links) > text * NAV_SHARE and text < NAV_TEXT_MOST
+def _links(root: Element) -> dict[int, tuple[int, int]]:
+    """Of each descendant, how many links it holds and the length of their texts; from
+    the leaves up."""
+    sizes: dict[int, int] = {}
+    found: dict[int, tuple[int, int]] = {}
+    for e in reversed(list(root.descendants())):
+        sizes[id(e)] = sum(len(c) if isinstance(c, str) else sizes[id(c)] for c in e.children)
+        many = length = 0
+        for c in e.elements():
+            inner = found[id(c)]
+            many, length = many + inner[0] + (c.tag == "a"), length + inner[1] + (sizes[id(c)] if c.tag == "a" else 0)
+        found[id(e)] = many, length
+    return found
 
 
 def strip_controls(elements: list[Element]) -> None:
     for top in elements:
         _prune(top, lambda e: bool(_control_name(e.names())))
-        _prune(top, lambda e: e.tag in ("button", "a", "span", "div") and len(t := e.text()) < CONTROL_TEXT_MOST and bool(_control_text(t.strip(JS_SPACE))))
+        texts = _short_texts(top, CONTROL_TEXT_MOST)
+        _prune(top, lambda e: e.tag in ("button", "a", "span", "div") and (t := texts[id(e)]) is not None and bool(_control_text(t.strip(JS_SPACE))))
         _prune(top, _is_control)
-        _prune(top, lambda e: e.tag in ("p", "div", "span") and _is_link_list(e))
+        links, texts = _links(top), _short_texts(top, NAV_TEXT_MOST, squeezed=True)
+
+        def is_link_list(e: Element) -> bool:
+            many, length = links[id(e)]
+            if e.tag not in ("p", "div", "span") or many < NAV_LINKS or texts[id(e)] is None:
+                return False
+            text = len(collapse(texts[id(e)]))
+            return length > text * NAV_SHARE and text < NAV_TEXT_MOST
+
+        _prune(top, is_link_list)
 
 
 def code_text(pre: Element) -> str:
@@ -322,10 +376,16 @@ def code_text(pre: Element) -> str:
     if lines:
         return "\n".join(t for e in lines if (t := e.text().strip(JS_SPACE))).strip(JS_SPACE)
 
-    def spell(e: Element) -> str:
-        return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else spell(c) for c in e.children)
-
-    return spell(pre).strip(JS_SPACE)
+    out, stack = [], [*reversed(pre.children)]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag == "br":
+            out.append("\n")
+        else:
+            stack.extend(reversed(c.children))
+    return "".join(out).strip(JS_SPACE)
 
 
 @dataclass

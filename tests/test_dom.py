@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from gleaner.sources.dom import main_content, page_blocks, parse, strip_frame
 
@@ -79,3 +81,10 @@ def test_code():
 @pytest.mark.parametrize("html", ["<", "<p", "</", "<!--", "<a href='x>", "<p></div></p></li>", "<table><tr><td><p>x<tr><td>y</table>", "<svg/><p>x", "a" * 10_000 + "<b>" * 2_000])
 def test_odd_input_never_fails(html):
     page_blocks(html)
+
+
+@pytest.mark.parametrize("html", ["<main><pre>" + "<b>" * 30_000 + "x</pre></main>", "<div>" * 30_000 + "<p>x", "<p>" + "<table><td>" + "<div>" * 20_000 + "<p>x", "<main>" + "<span>" * 20_000 + "<a>y</a>" * 5 + "</span>" * 20_000 + "<p>x", "<p><b>" * 20_000 + "x", "<li>" * 30_000 + "x", "<nav>n</nav>" * 20_000 + "<p>x"])
+def test_deep_and_wide_pages_take_linear_time(html):
+    began = time.process_time()
+    assert any(b.text == "x" for b in page_blocks(html)[1])
+    assert time.process_time() - began < 10

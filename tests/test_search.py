@@ -7,7 +7,7 @@ import time
 
 import pytest
 from gleaner.config import DEFAULT, SEARCH, Search
-from gleaner.operators import render
+from gleaner.operators import render, scoring
 from gleaner.plans import extract, fetch, search
 from gleaner.sources import web
 from gleaner.streaming import sessions
@@ -209,3 +209,39 @@ def test_streaming_pages_and_event_time(spark, tmp_path):
     assert len(run_stream(sessions.stream_pages(spark, str(tmp_path / "p")), "parsed", tmp_path, 4)) == 4
     spans = sessions.event_sessions(accesses(spark)).collect()
     assert sorted((r["session_key"], r["n_accesses"]) for r in spans) == [("s", 2), ("s", 3), ("t", 1)]
+
+
+def test_many_queries_need_no_pairs(spark, tables):
+    """More queries than pages could be crossed with in texts: only matching pairs are scored."""
+    parsed = extract.materialize(extract.parsed_pages(tables[2].where("html is not null")), "t")
+    asked = extract.query_table(spark, [(i, "useState hook" if i % 4000 == 0 else f"nothing{i} here{i}") for i in range(12_000)])
+    assert sorted({(r["query_id"], r["page_id"]) for r in extract.extract_parsed(parsed, asked)[0].collect()}) == [(0, 1), (4000, 1), (8000, 1)]
+    postings = extract._postings(extract.page_sentences(parsed, DEFAULT), asked, None)
+    assert {r["query_id"] % 4000 for r in postings.select("query_id").distinct().collect()} == {0}
+
+
+def test_weights_and_token_options_reach_extraction(spark, tables):
+    pages = tables[2].where("html is not null")
+    asked = extract.query_table(spark, [(1, "useState hook")])
+    usual, other = (extract.extract(pages, asked, DEFAULT.merged(ranker=r)).collect() for r in ({}, {"weights": {"position": 5.0}}))
+    assert usual and [r["score"] for r in usual] != [r["score"] for r in other]
+    with pytest.raises(ValueError):
+        extract.extract(pages, asked, DEFAULT.merged(ranker={"weights": {"colour": 1.0}})).collect()
+    c = DEFAULT.merged(tokens={"stop_words": False, "min_length": 1})
+    parsed = extract.materialize(extract.parsed_pages(pages), "t")
+    held = {t for r in extract.page_sentences(parsed, c).select("tokens").collect() for t in r["tokens"]}
+    usual = {t for r in extract.page_sentences(parsed, DEFAULT).select("tokens").collect() for t in r["tokens"]}
+    assert "the" in held and "the" not in usual
+    assert extract.query_table(spark, [(1, "the x hook")], tokens=c.tokens).first()["q"] == ["the", "x", "hook"]
+
+
+def test_matches_equal_relevance(spark, tables):
+    """The narrow form gives what the scores of whole rows give."""
+    parsed = extract.materialize(extract.parsed_pages(tables[2].where("html is not null")), "t")
+    sentences = extract.page_sentences(parsed, DEFAULT)
+    asked = extract.query_table(spark, [(1, "useState hook"), (2, "hook hook component"), (3, "state keeps click")])
+    rows = sentences.crossJoin(asked)
+    want = scoring.relevance(rows, scoring.page_stats(rows)).where("cooccurrence > 0")
+    stats = sentences.groupBy("page_id").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    got = scoring.matches(extract._postings(sentences, asked, None), stats)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 2

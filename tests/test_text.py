@@ -141,3 +141,9 @@ def test_quality(spark, sizes, reason):
     if reason is None and got["median_length"] < 25:
         reason = f"Median sentence too short ({got['median_length']:.0f} < 25)"
     assert got["reject_reason"] == reason and got["passes"] == (reason is None)
+
+
+def test_sentences_keep_any_symbol(spark):
+    held = "One\x02two. Three\x02 four. Mr. Ten \x02. Dr. \x02Five. End."
+    got = spark.createDataFrame([(held,)], "t string").select(text.sentences(F.col("t")).alias("s")).first()["s"]
+    assert got == ["One\x02two.", "Three\x02 four.", "Mr. Ten \x02.", "Dr. \x02Five.", "End."]
