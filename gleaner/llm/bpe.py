@@ -11,8 +11,8 @@ versions and tabulated on first use.
 
 The language of that automaton is exactly the correct tokenizations, and each
 byte string has one. Reading bytes is made deterministic lazily: a state is the
-longest suffix that begins some token plus the last token at each of its
-positions, and its transitions are tabulated when first taken. Encoding a word
+longest suffix that begins some token plus the tokens before it and before its own
+suffixes that begin tokens, and its transitions are tabulated when first taken. Encoding a word
 is one table step a byte and one step back a token. Decoding emits arc labels.
 
 ``Encoder`` splits texts into words with array operations (the byte-level
@@ -48,7 +48,7 @@ class Automaton:
     """Merges compiled by successive merge gadgets. Pairs of small numbers are keys
     of one integer, so that the tables stay small; ``MEMO`` bounds the tabulated part."""
 
-    MEMO = 80_000
+    MEMO = 200_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -66,6 +66,7 @@ class Automaton:
         self.arcs: dict[int, bool] = {}
         self._build_trie({self.labels[t]: t for t in self.born})
         self.labels |= {i: t.encode() for t, i in self.specials.items()}
+        self.size = {t: len(x) for t, x in self.labels.items()}
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple[int, tuple[int, ...]]] = []
         self.table: dict[int, int] = {}
@@ -124,13 +125,13 @@ class Automaton:
             ends[at] = token
         link = [0] * len(ends)
         for node in sorted(range(1, len(ends)), key=depth.__getitem__):
-            above, b = parent[node]
-            if above:
-                back = link[above]
+            before, b = parent[node]
+            if before:
+                back = link[before]
                 while back and back << 8 | b not in child:
                     back = link[back]
                 link[node] = child.get(back << 8 | b, 0)
-        self.child, self.ends, self.link, self.depth = child, array("i", ends), array("i", link), array("i", depth)
+        self.child, self.ends, self.link, self.depth = child, ends, array("i", link), depth
 
     def _forget(self) -> None:
         for held in (self.ids, self.states, self.table, self.final):
@@ -146,31 +147,32 @@ class Automaton:
             self.final.append(history[-1])
         return known
 
-    def _advance(self, node: int, byte: int) -> int:
-        while node and node << 8 | byte not in self.child:
-            node = self.link[node]
-        return self.child.get(node << 8 | byte, 0)
-
-    def _last(self, node: int, history: tuple[int, ...]) -> int:
-        """The token that ends here: the one whose arc leaves the state where it starts.
-        ``history`` holds the last tokens up to before this byte."""
-        while node:
-            token = self.ends[node]
-            if token >= 0:
-                before = history[-self.depth[node]]
-                if before == START or self.has_arc(before, token):
-                    return token
-            node = self.link[node]
-        raise ValueError("no tokenization")
-
     def _tabulate(self, state: int, byte: int) -> int:
+        """The state after ``byte``: the longest suffix that begins a token, and for it and
+        all shorter ones the token before them. The token that ends here is the longest
+        whose arc leaves the state where it starts; it stands before the empty suffix."""
         node, history = self.states[state]
         if len(self.states) > self.MEMO:  # begin the table anew from this state
             self._forget()
             state = self._state(node, history)
-        at = self._advance(node, byte)
-        token = self._last(at, history)
-        following = self._state(at, (*history, token)[-(self.depth[at] + 1) :])
+        child, link, ends, depth = self.child, self.link, self.ends, self.depth
+        before, place = {}, node
+        for token in history:
+            before[depth[place]] = token
+            place = link[place]
+        at = child.get(node << 8 | byte, 0)
+        while not at:  # every byte is a token, so the root has an arc for it
+            node = link[node]
+            at = child.get(node << 8 | byte, 0)
+        now, place, last = [], at, START
+        while place:
+            token = before[depth[place] - 1]
+            now.append(token)
+            if last == START and ends[place] >= 0 and (token == START or self.has_arc(token, ends[place])):
+                last = ends[place]
+            place = link[place]
+        now.append(last)
+        following = self._state(at, tuple(now))
         self.table[state << 8 | byte] = following
         return following
 
@@ -178,16 +180,15 @@ class Automaton:
         """One table step a byte, one step back a token; words of any length."""
         if len(self.states) > self.MEMO:
             self._forget()
-        table, final, state, last = self.table, self.final, 0, array("i", [START])
+        known, final, state, last = self.table.get, self.final, 0, array("i")
         for b in word:
-            following = table.get(state << 8 | b)
-            state = self._tabulate(state, b) if following is None else following
+            state = known(state << 8 | b) or self._tabulate(state, b)
             last.append(final[state])
-        out, at, labels = [], len(word), self.labels
+        out, at, size = [], len(word), self.size
         while at:
-            token = last[at]
+            token = last[at - 1]
             out.append(token)
-            at -= len(labels[token])
+            at -= size[token]
         out.reverse()
         return out
 
@@ -243,8 +244,8 @@ class Encoder:
     """
 
     CHUNK = 200_000
-    SLOTS = 1 << 20
-    HELD = 1 << 21
+    SLOTS = 1 << 21
+    HELD = 1 << 22
     BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
     WIDE = 48  # longer words are not hashed
 
@@ -261,7 +262,7 @@ class Encoder:
         self.keys = np.zeros(self.SLOTS, np.uint64)
         self.slot_word = np.full(self.SLOTS, -1, np.int32)
         self.n_words = 0
-        self.offsets = np.zeros(1 << 14, np.int64)
+        self.offsets = np.zeros(1 << 14, np.uint32)
         self.lengths = np.zeros(1 << 14, np.int32)
         self.checks = np.zeros(1 << 14, np.uint64)
         self.flat = np.zeros(1 << 16, np.uint16 if max(self.automaton.labels) < 65536 else np.uint32)
@@ -317,7 +318,7 @@ class Encoder:
         hashed = ends - starts <= self.WIDE
         if len(codes) > len(self.power[0]):
             hashed[:] = False  # one very long text: no hashing beyond the tables
-        word = np.full(len(starts), -1, np.int64)
+        word = np.full(len(starts), -1, np.int32)
         if hashed.any():
             hashes, checks = (self._hashes(which, codes, starts, ends) for which in range(2))
             word[hashed] = self._find(hashes[hashed])
@@ -339,7 +340,7 @@ class Encoder:
             word[i] = alone[w]
         n = self.lengths[word].astype(np.int64)
         stop = np.cumsum(n)
-        flat = self.flat[np.repeat(self.offsets[word] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        flat = self.flat[np.repeat(self.offsets[word].astype(np.int64) - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
         per_text = np.bincount(text_of, weights=n, minlength=len(texts)).astype(np.int64)
         return np.split(flat, np.cumsum(per_text)[:-1])
 

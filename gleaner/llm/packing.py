@@ -6,11 +6,13 @@
    whatever the corpus) is matched by repeating shallow combinations of two or
    three lengths that fill a window: non-negative least squares solves for the
    repeats, which are rounded and dealt out as far as lengths last. What is left is
-   laid end to end, longest first, and cut where a window ends. So every sequence
-   of the table but the last of these is full, however the rows are partitioned.
+   packed greedily, each next length the largest that fits; once that leaves more
+   than 1/256 of a window empty, the rest is laid end to end, longest first, and cut
+   where a window ends. So every sequence of the table but the last of these is full
+   or nearly so, however the rows are partitioned.
 3. The remainders of one length are numbered over all partitions (counts by
    partition and length, summed up); number and plan give sequence and offset.
-   Texts cut in step 2 are tokenized again for the checksums of their parts.
+   The few texts cut in step 2 are tokenized again for the checksums of their parts.
 
 Defined cases: null text is empty, and each document has at least its end id, so an
 empty text is a piece of one id; repeated rows are documents of their own; a null
@@ -36,6 +38,7 @@ from ..session import materialize, scratch, ship
 from .bpe import encoder
 from .common import Batches, lean, slices
 
+FEW_CUTS = 20_000
 #: of a text: its remainder's length and number among those of its partition, and its first whole window's number there
 MEASURED = "doc_id long, text_hash long, part long, n long, rest int, k long, first long, whole array<long>, rest_crc long"
 PIECE = "doc_id long, text_hash long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -115,15 +118,10 @@ def plan(histogram: dict[int, int], window: int) -> Plan:
     for j in sorted(range(len(combos)), key=lambda j: -solved[j]):
         uses = Counter(combos[j])
         repeats = min([round(solved[j]), *((histogram[n] - used[n]) // m for n, m in uses.items())])
-        if repeats <= 0:
-            continue
-        offset = 0
-        for n, m in uses.items():
-            made.bases.setdefault(n, []).append(used[n])
-            made.slots.setdefault(n, []).append((m, sequence, offset))
-            used[n] += m * repeats
-            offset += m * n
-        sequence += repeats
+        if repeats > 0:
+            _deal(made, uses, used, sequence, repeats)
+            sequence += repeats
+    sequence = _filled(made, histogram, used, sequence)
     made.first_of_line, at = sequence, 0
     for n in sorted(histogram, reverse=True):
         made.line[n] = (used[n], at)
@@ -132,6 +130,37 @@ def plan(histogram: dict[int, int], window: int) -> Plan:
     return made
 
 
+def _filled(made: Plan, histogram: dict[int, int], used: Counter[int], sequence: int) -> int:
+    """Deals out sequences that the largest lengths left fill greedily, each next one
+    the largest that fits, as long as at most 1/256 of the window stays empty."""
+    left = sorted(n for n in histogram if used[n] < histogram[n])
+    while left:
+        uses: Counter[int] = Counter()
+        room, top = made.window, len(left)
+        while top := bisect_right(left, room, 0, top):
+            n = left[top - 1]
+            uses[n] = min(room // n, histogram[n] - used[n])
+            room -= n * uses[n]
+            top -= 1
+        if room > made.window >> 8:
+            break
+        repeats = min((histogram[n] - used[n]) // m for n, m in uses.items())
+        _deal(made, uses, used, sequence, repeats)
+        sequence += repeats
+        left = [n for n in left if used[n] < histogram[n]] if any(used[n] == histogram[n] for n in uses) else left
+    return sequence
+
+
+def _deal(made: Plan, uses: Counter[int], used: Counter[int], sequence: int, repeats: int) -> None:
+    """Gives the next numbers of the lengths in ``uses`` to ``repeats`` sequences."""
+    offset = 0
+    for n, m in uses.items():
+        made.bases.setdefault(n, []).append(used[n])
+        made.slots.setdefault(n, []).append((m, sequence, offset))
+        used[n] += m * repeats
+        offset += m * n
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     names, kinds = zip(*(x.split() for x in schema.split(", ")))
     arrow = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
@@ -190,16 +219,15 @@ def _parts(vocabulary: str, end_id: int):
     return run
 
 
-def _pieces(own: DataFrame, vocabulary: str, window: int, end_id: int) -> DataFrame:
-    """All pieces; the checksums of cut remainders are null."""
+def _numbered(own: DataFrame, vocabulary: str, window: int, end_id: int) -> tuple[DataFrame, Plan]:
+    """A row a document, with its remainder's ``number`` among those of its length, and the plan."""
     measured = materialize(own.mapInArrow(lean(_measured(vocabulary, window, end_id), vocabulary=True), MEASURED), "measured")
     counts = materialize(measured.where("rest > 0").groupBy("rest", "part").agg(F.count("*").alias("many")), "rest-counts")
     # at most window - 1 rows, whatever the corpus
     made = plan(dict(counts.groupBy("rest").agg(F.sum("many")).collect()), window)
     before = F.sum("many").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     begins = counts.select("rest", "part", F.coalesce(before, F.lit(0)).alias("begin"))
-    numbered = measured.join(begins, ["rest", "part"], "left").withColumn("number", F.col("begin") + F.col("k"))
-    return numbered.mapInArrow(lean(_placed(made)), PIECE)
+    return measured.join(begins, ["rest", "part"], "left").withColumn("number", F.col("begin") + F.col("k")), made
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1) -> DataFrame:
@@ -207,9 +235,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, end_id:
     ship(docs.sparkSession)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_hash"), docs["text"])
     with scratch(docs.sparkSession) as keep:
-        pieces = keep(materialize(_pieces(own, vocabulary, window, end_id), "pieces"))
+        numbered, made = _numbered(own, vocabulary, window, end_id)
+        pieces = keep(materialize(numbered.mapInArrow(lean(_placed(made)), PIECE), "pieces"))
     cut = pieces.where("ids_crc32 is null")
     wanted = cut.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("parts")).withColumnsRenamed({"doc_id": "at", "text_hash": "hash"})
+    if made.first_whole - made.first_of_line <= FEW_CUTS:  # so many texts are cut at most: theirs need no shuffle of all texts
+        wanted = F.broadcast(wanted)
     texts = own.join(wanted, own["doc_id"].eqNullSafe(wanted["at"]) & (own["text_hash"] == wanted["hash"])).select("doc_id", "text_hash", "text", "parts")
     # rows that repeat an id and its text have one checksum
     again = materialize(texts.mapInArrow(lean(_parts(vocabulary, end_id), vocabulary=True), PARTS).dropDuplicates(["at", "hash", "start", "length"]), "part-checksums")
