@@ -15,6 +15,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BATCH, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 PACKAGE = Path(__file__).resolve().parent
 
 
@@ -119,7 +120,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per context."""
+    """Make this package importable in Python workers, once per context. Arrow batches
+    of Spark's default size hold 10,000 texts at once, off the heap and in Python: where
+    no other size is set, they get ``ARROW_ROWS``."""
+    if spark.conf.get(ARROW_BATCH) == "10000":
+        spark.conf.set(ARROW_BATCH, str(ARROW_ROWS))
     context = spark.sparkContext
     if getattr(context, "_gleaner_shipped", False):
         return
