@@ -41,7 +41,7 @@ K, BAND = 96, 4
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK_NODES, BLOCK_WORDS = 256, 1 << 21
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 _U = np.uint64
 _BASE, _MULT = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)

@@ -51,7 +51,7 @@ from .ngram_join import mix, word_hashes
 SPAN, K = 400, 64
 COLLECTION = 4_000
 REACHES = (32, 8, 1)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SYMBOLS = np.random.default_rng(23).integers(1, 1 << 63, (2, 256), dtype=np.int64).astype(_U)
