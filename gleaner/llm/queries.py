@@ -144,3 +144,40 @@ FROM p JOIN f ON f.sha = p.sha
 """
 
 ORACLES |= {"op6_host_rules": HOST_SQL, "op7_warc": WARC_SQL}
+
+#: exact Jaccard of all pairs that share an n-gram; copies (equal word sequences) are one node
+JOIN_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT w, row_number() OVER () AS node FROM (SELECT DISTINCT w FROM d)),
+g AS (SELECT DISTINCT node, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS gram FROM n WHERE len(w) > 0),
+s AS (SELECT node, count(*) AS size FROM g GROUP BY node),
+p AS (SELECT a.node AS a, b.node AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.node <> b.node GROUP BY a.node, b.node),
+l AS (SELECT a, b FROM p JOIN s x ON x.node = a JOIN s y ON y.node = b WHERE 5 * common >= 4 * (x.size + y.size - common)),
+r AS (SELECT node, node AS reached FROM n UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached),
+k AS (SELECT doc_id, node FROM d JOIN n ON n.w = d.w),
+c AS (SELECT r.node, min(doc_id) AS class_id FROM r JOIN k ON k.node = r.reached GROUP BY r.node),
+m AS (SELECT a AS node, count(*) AS n_links FROM l GROUP BY a)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM k JOIN c ON c.node = k.node LEFT JOIN m ON m.node = k.node
+"""
+
+#: all windows of 400 bytes, as hexadecimal text, and all windows of 51 words
+REPEATS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+x AS (SELECT r, unnest(range(0, length(h) // 2 - 399)) AS i FROM d),
+y AS (SELECT x.r, i, md5_number(substring(h, CAST(2 * i + 1 AS INTEGER), 800)) AS k FROM x JOIN d ON d.r = x.r),
+z AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM y) WHERE n > 1),
+e AS (SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS span FROM (SELECT r, i, lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) AS before FROM z)),
+spans AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM e GROUP BY r, span),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT d.r, coalesce(max(b), 0), any_value(length(h) // 2) FROM d LEFT JOIN spans s ON s.r = d.r GROUP BY d.r),
+kept AS (SELECT g.r, string_agg(substring(h, CAST(2 * a + 1 AS INTEGER), CAST(2 * (b - a) AS INTEGER)), '' ORDER BY a) AS h FROM gaps g JOIN d ON d.r = g.r GROUP BY g.r),
+t AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r),
+u AS (SELECT r, doc_id, unnest(range(1, len(w) - 49)) AS i FROM d),
+v AS (SELECT u.r, u.doc_id, i, md5_number(array_to_string(w[i:i + 50], ' ')) AS k FROM u JOIN d ON d.r = u.r),
+q AS (SELECT r, i FROM (SELECT r, i, min(doc_id) OVER (PARTITION BY k) AS lo, max(doc_id) OVER (PARTITION BY k) AS hi FROM v) WHERE lo < hi),
+words AS (SELECT r, CAST(sum(least(51, coalesce(nxt, i + 51) - i)) AS BIGINT) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM q) GROUP BY r)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256, coalesce(words.n, 0) AS n_passage_words
+FROM d JOIN kept ON kept.r = d.r LEFT JOIN t ON t.r = d.r LEFT JOIN words ON words.r = d.r
+"""
+
+ORACLES |= {"op1_ngram_join": JOIN_SQL, "op10_suffix_dedup": REPEATS_SQL}

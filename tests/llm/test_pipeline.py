@@ -62,3 +62,19 @@ def test_stages(spark, corpus):
     sizes = {i: len(x) + 1 for i, x in zip(texts["secret_scan"], encoder.encode(list(texts["secret_scan"].values())))}
     assert {r["doc_id"]: r["doc_tokens"] for r in pieces} == sizes
     assert sum(r["length"] for r in pieces) == sum(sizes.values())
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, a very long text, repeated rows, extra columns: all that is
+    neither toxic nor a copy is packed whole."""
+    long = " ".join(f"word{i % 977}{i % 1009}" for i in range(60_000))
+    rows = [(None, "a text without id and with several words", "en", "s", 1, "x"), (1, None, None, None, None, "x"), (2, "", "en", "s", 0, "x"), (3, long, "en", "s", 1, "x")]
+    rows += [(4, "the very same row " * 9, "en", "s", 1, "x")] * 3 + [(5, "other words of a fifth document here", "en", "s", 1, "x")]
+    for name, held in (("some", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(held, "doc_id long, text string, lang string, source string, n_chars long, score string").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(9, 1, 0)] if held else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        found = P.run(spark, folder).collect()
+        sizes = {r["doc_id"]: r["doc_tokens"] for r in found}
+        assert set(sizes) == ({None, 1, 3, 4, 5} if held else set())
+        assert sum(r["length"] for r in found) == sum(sizes.values())
