@@ -2,7 +2,10 @@
 
 Each stage reads what its predecessor wrote and its decisions take effect:
 toxic documents go, repeated lines go, one document of each near-duplicate class
-stays, secrets are masked, and what is left is packed.
+stays, secrets are masked, and what is left is packed. Stages take and return the
+columns of documents; other columns of the input are dropped. Null and empty texts and
+null ids pass; rows that repeat an id and its text count as copies of each other; an
+empty table gives no rows. The tables of a stage go once the next one is written.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Callable
 from gleaner.llm import line_dedup, ngram_join, packing, secret_scan, toxicity
 from gleaner.llm.common import table
 from gleaner.llm.queries import vocabulary
-from gleaner.session import materialize
+from gleaner.session import materialize, scratch
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,8 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as hand_on:
+        for name, stage in STAGES[:-1]:
+            with scratch(spark) as keep:
+                docs = keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+        return hand_on(materialize(STAGES[-1][1](spark, docs, sf_dir), "packed"))
