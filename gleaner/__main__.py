@@ -8,15 +8,24 @@
 from __future__ import annotations
 
 import argparse
+import json
+import time
 
 from pyspark.sql import functions as F
 
-from .config import FILE, Search
+from .config import FETCH, FILE, Search
 from .operators import render
 from .plans import extract, fetch, search
 from .session import local_session, materialize
 from .sources import web
 from .sources.pages import parsed_pages, read_whole
+from .streaming import sessions
+
+
+def show(explained) -> None:
+    """A JSON line for each page that was ranked."""
+    for row in explained.toLocalIterator():
+        print(json.dumps(row.asDict(recursive=True), default=str))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -28,6 +37,8 @@ def main(argv: list[str] | None = None) -> None:
         if name != "search":
             one.add_argument("--query", default="")
         one.add_argument("--debug", action="store_true")
+        if name == "search":
+            one.add_argument("--session", default="", help="a folder that remembers for some seconds what was given")
         one.add_argument("--max-results", type=int, default=5)
         one.add_argument("--base-url", default=web.BASE_URL)
         one.add_argument("--timeout", type=float, default=web.TIMEOUT)
@@ -36,14 +47,19 @@ def main(argv: list[str] | None = None) -> None:
     spark.sparkContext.setLogLevel("ERROR")
     if a.command == "file":
         asked = extract.query_table(spark, [(0, a.query)])
-        found, metrics = extract.extract_parsed(materialize(parsed_pages(read_whole(spark, a.what)), "parsed"), asked, FILE)
+        parsed = materialize(parsed_pages(read_whole(spark, a.what)), "parsed")
+        found, _ = extract.extract_parsed(parsed, asked, FILE)
         for row in render.excerpt_report(materialize(found, "found"), asked.select("query_id", "query")).toLocalIterator():
             print(row["report"])
         if a.debug:
-            metrics.show(truncate=False)
+            show(extract.explain(parsed, asked, FILE))
     elif a.command == "url":
-        pages = web.fetch(spark.createDataFrame([(a.what,)], "url string"), a.timeout).withColumn("page_id", F.lit(0).cast("long"))
+        # with a query, a page is taken as it comes: without time limit, whatever its type
+        get = web.get_any if a.query else web.get_page
+        pages = web.fetch(spark.createDataFrame([(a.what,)], "url string"), a.timeout, get=get).withColumn("page_id", F.lit(0).cast("long"))
         pages = materialize(pages, "fetched")
+        if a.debug and a.query:
+            show(extract.explain(materialize(parsed_pages(pages.where("html is not null")), "parsed"), extract.query_table(spark, [(0, a.query)]), FETCH))
         print((fetch.fetch_for(pages, a.query) if a.query else fetch.fetch_pages(pages)).first()["content"])
     else:
         web.register(spark)
@@ -53,7 +69,10 @@ def main(argv: list[str] | None = None) -> None:
         hits = materialize(spark.read.format("websearch").options(**options).load().withColumn("query_id", F.lit(0).cast("long")), "hits")
         wanted = search.chosen_hits(hits, search.queries(asked), c).where("status = 'wanted'").select("url")
         pages = materialize(web.fetch(wanted.repartition(web.WORKERS), a.timeout).withColumn("page_id", F.xxhash64("url")), "fetched")
-        print(search.search(asked, hits, pages, c, diagnostics=a.debug).first()["result"])
+        seen = sessions.recall(spark, a.session, "cli", time.time(), asked, c.session_seconds) if a.session else None
+        print(search.search(asked, hits, pages, c, seen, diagnostics=a.debug).first()["result"])
+        if a.session:
+            sessions.remember(search.search_tables(asked, hits, pages, c, seen)[2], a.session, "cli", time.time())
 
 
 if __name__ == "__main__":

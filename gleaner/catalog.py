@@ -529,11 +529,14 @@ def fetch_query(spark, sf_dir):
 
 
 def _search_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every fifth of all pages is a hit of one of 20 queries."""
+    """Every page is a hit: twenty pages a query, so that queries grow with the table
+    and none of their hits is beyond what a search looks at."""
     p = pages(spark, sf_dir)
-    asked = spark.range(20).select(F.col("id").alias("query_id"), F.concat(F.lit("site:a.com "), F.element_at(F.array(*map(F.lit, ["thtion", "attion", "erheit", "en"])), (F.col("id") % 4 + 1).cast("int"))).alias("search_query"))
-    order = F.row_number().over(Window.partitionBy(F.col("page_id") % 20).orderBy("page_id")) - 1
-    hits = p.select((F.col("page_id") % 20).alias("query_id"), order.alias("ordinal"), "url", text.title(F.col("html")).alias("title"), F.lit("thtion attion erheit en").alias("content"), (F.col("page_id") % 13).cast("double").alias("score"), F.lit("test").alias("engine"))
+    of = F.floor(F.col("page_id") / 20).cast("long")
+    words = F.element_at(F.array(*map(F.lit, ["thtion", "attion", "erheit", "en"])), (F.col("query_id") % 4 + 1).cast("int"))
+    asked = p.select(of.alias("query_id")).distinct().withColumn("search_query", F.concat(F.lit("site:a.com "), words))
+    order = F.row_number().over(Window.partitionBy(of).orderBy("page_id")) - 1
+    hits = p.select(of.alias("query_id"), order.alias("ordinal"), "url", text.title(F.col("html")).alias("title"), F.lit("thtion attion erheit en").alias("content"), (F.col("page_id") % 13).cast("double").alias("score"), F.lit("test").alias("engine"))
     fetched = p.select("page_id", "url", F.when(F.col("page_id") % 11 == 0, F.lit(None)).otherwise(F.col("html")).alias("html"), F.when(F.col("page_id") % 11 == 0, "HTTP 403: Forbidden").alias("error"))
     return asked, hits, fetched.dropDuplicates(["url"])
 

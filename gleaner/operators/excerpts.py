@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import accumulate
 
 import pyarrow as pa
@@ -149,6 +149,10 @@ class Page:
             b = self.with_code(a, b, c.max_chars)
         return Chunk(frozenset(range(a, b + 1)), anchor.index, anchor.score, chunk_text(self.all[a : b + 1]), self.chars(a, b), anchor.path)
 
+    def adapted(self, anchor: Sentence, c: Expand, at: int, target: int = 1500) -> Chunk:
+        """A chunk that aims at ``target`` characters, whatever the usual limit."""
+        return self.chunk(anchor, replace(c, max_chars=target), at)
+
     def merged(self, a: Chunk, b: Chunk) -> Chunk:
         first = a if a.score >= b.score else b
         places = a.places | b.places
@@ -256,12 +260,11 @@ def streamed(rows: DataFrame, keys: list[str], order: list[str], make, schema: s
             yield _batch(out, names, kinds, schema)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{kinds}, {schema}")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{kinds}, {schema}")
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: dict, schema: str) -> pa.RecordBatch:
-    arrow = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+    arrow = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32())}
     own = [x.rsplit(" ", 1) for x in schema.split(", ")]
     columns = list(zip(*rows))
     types = [kinds[k] for k in names] + [arrow[t] for _, t in own]

@@ -77,6 +77,34 @@ def extract_parsed(parsed: DataFrame, queries: DataFrame, c: Extraction = DEFAUL
     return ex.excerpts(ranked, c, KEYS).unionByName(ex.opening(opening, c, KEYS)), metrics
 
 
+DEBUG = "n_anchors int, n_chunks int, n_deduped int, texts array<string>, scores array<double>, paths array<string>"
+
+
+def explain(parsed: DataFrame, queries: DataFrame, c: Extraction = DEFAULT, pairs: DataFrame | None = None) -> DataFrame:
+    """``metrics`` of pairs that were ranked, with the counts of each step and the best
+    sentences: ten of relevant pages, five of others. Every pair of ``pairs`` (all, if
+    none are given) is ranked for it: for looking into some pages, not for whole corpora."""
+    _, metrics = extract_parsed(parsed, queries, c, pairs)
+    judged = materialize(metrics.where("relevant is not null"), "judged")
+    rows = judged.select(*KEYS, "relevant").join(queries.select("query_id", "q"), "query_id").join(page_sentences(parsed, c), "page_id")
+    ranked = scoring.ranked(rows, KEYS, c.ranker, c.bm25).select(*KEYS, "relevant", "global_index", "text", "tokens", "block_type", "heading_path", "combined_score")
+
+    def make(held: list[dict]) -> list[tuple]:
+        sentences = ex._sentences(held)
+        page, best = ex.Page(sentences), sorted(sentences, key=lambda s: (-s.score, s.index))
+        best_few = best[: 10 if held[0]["relevant"] else 5]
+        top = [s.text[:100] + "..." * (len(s.text) > 100) for s in best_few], [s.score for s in best_few], [" > ".join(s.path) for s in best_few]
+        if not held[0]["relevant"]:
+            return [(0, 0, 0, *top)]
+        anchors = ex.choose_anchors(best, c.anchors)
+        chunks = [page.chunk(a, c.expand, a.pos) for a in anchors]
+        return [(len(anchors), len(chunks), len(ex.drop_contained(ex.merge_chunks(page, chunks, c.dedupe))), *top)]
+
+    steps = ex.streamed(ranked, list(KEYS), ["global_index"], make, DEBUG)
+    top = F.arrays_zip(F.col("texts").alias("text"), F.col("scores").alias("score"), F.col("paths").alias("heading_path"))
+    return judged.join(steps.withColumn("top", top).drop("texts", "scores", "paths"), list(KEYS))
+
+
 def extract(pages: DataFrame, queries: DataFrame, c: Extraction = DEFAULT, pairs: DataFrame | None = None) -> DataFrame:
     """Excerpts of pages (page_id, url, html) for queries (query_id, query, q)."""
     return extract_parsed(materialize(parsed_pages(pages), "parsed"), queries, c, pairs)[0]

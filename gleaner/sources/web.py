@@ -69,8 +69,9 @@ def is_html(content_type: str) -> bool:
     return "text/html" in content_type or "application/xhtml" in content_type
 
 
-def get_page(url: str, timeout: float = TIMEOUT, gate: bool = True) -> tuple[str | None, str | None]:
+def get_page(url: str, timeout: float | None = TIMEOUT, gate: bool = True) -> tuple[str | None, str | None]:
     """(html, error): one of both is null."""
+    late = "Timeout" if timeout is None else f"Timeout after {timeout * 1000:.0f}ms"
     try:
         with urllib.request.urlopen(urllib.request.Request(url, headers=HEADERS), timeout=timeout) as answer:
             kind = answer.headers.get("Content-Type", "")
@@ -80,13 +81,18 @@ def get_page(url: str, timeout: float = TIMEOUT, gate: bool = True) -> tuple[str
     except urllib.error.HTTPError as e:
         return None, f"HTTP {e.code}: {e.reason}"
     except TimeoutError:
-        return None, f"Timeout after {timeout * 1000:.0f}ms"
+        return None, late
     except urllib.error.URLError as e:
-        return None, f"Timeout after {timeout * 1000:.0f}ms" if isinstance(e.reason, TimeoutError) else str(e.reason)
+        return None, late if isinstance(e.reason, TimeoutError) else str(e.reason)
     except Exception as e:
         return None, str(e) or "Unknown error"
 
 
+def get_any(url: str, timeout: float | None = None) -> tuple[str | None, str | None]:
+    """A page whatever its type, without time limit."""
+    return get_page(url, None, gate=False)
+
+
 def fetch(urls: DataFrame, timeout: float = TIMEOUT, workers: int = WORKERS, get: Callable[[str, float], tuple] = get_page) -> DataFrame:
     """url, html, error of each row of ``urls``: a few requests at a time in each
     task, failures as rows. More partitions fetch more at a time."""

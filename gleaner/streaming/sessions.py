@@ -34,6 +34,30 @@ def mark_seen(accesses: DataFrame, seconds: float = SECONDS) -> DataFrame:
     return begun.withColumn("seen", nth > 1)
 
 
+def remember(keys: DataFrame, path: str, session_key: str, now: float) -> None:
+    """Appends ``keys`` (query_id, key; ``search_tables`` gives them, of failed pages too)
+    to the session's log at ``path``, as given at ``now`` (seconds). Concurrent appends
+    are safe; a failed one leaves nothing."""
+    rows = keys.select(F.lit(session_key).alias("session_key"), "key", F.timestamp_seconds(F.lit(now)).alias("ts"))
+    rows.write.mode("append").partitionBy("session_key").parquet(path)
+
+
+def recall(spark: SparkSession, path: str, session_key: str, now: float, queries: DataFrame, seconds: float = SECONDS) -> DataFrame:
+    """query_id, key: what the session was given since it last rested, for each of
+    ``queries``; nothing if it rests at ``now``, or has no log."""
+    empty = queries.limit(0).select("query_id", F.lit("").alias("key"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return empty
+    log = spark.read.schema("session_key string, key string, ts timestamp").parquet(path).where(F.col("session_key") == session_key)
+    at = F.col("ts").cast("double")
+    # an access a search, not a key: the rests are found among few rows
+    accesses = log.select("ts").distinct().withColumn("rest", F.lead(at, 1, now).over(Window.orderBy("ts")) - at > seconds)
+    rested = accesses.where("rest").agg(F.max("ts").alias("rested"))
+    current = log.join(rested).where(F.col("rested").isNull() | (F.col("ts") > F.col("rested"))).select("key").distinct()
+    return queries.select("query_id").distinct().join(current).select("query_id", "key")
+
+
 class SessionMemory(StatefulProcessor):
     """transformWithState processor: keys given, and when the session was last used."""
 

@@ -144,3 +144,9 @@ def test_random_expansion(seed):
     for at in range(len(s)):
         for most in (20, 60, 150, 400):
             assert p.fitted(at, most) == slow_section([len(t) for _, t in specs], [k for k, _ in specs], at, most)
+
+
+def test_adapted_chunks_aim_at_a_size_of_their_own():
+    p = X.Page(page(*[("p", "x" * 100)] * 40))
+    usual, wide, narrow = p.chunk(p.all[20], X.Expand(), 20), p.adapted(p.all[20], X.Expand(), 20), p.adapted(p.all[20], X.Expand(), 20, 300)
+    assert narrow.chars <= 300 < wide.chars <= 1500 < usual.chars

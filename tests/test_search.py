@@ -245,3 +245,34 @@ def test_matches_equal_relevance(spark, tables):
     stats = sentences.groupBy("page_id").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     got = scoring.matches(extract._postings(sentences, asked, None), stats)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 2
+
+
+def test_explained_pages(spark, tables):
+    parsed = extract.materialize(extract.parsed_pages(tables[2].where("html is not null")), "t")
+    rows = {(r["query_id"], r["page_id"]): r for r in extract.explain(parsed, extract.query_table(spark, [(1, "useState hook"), (2, "python django orm")])).collect()}
+    good, bad = rows[1, 1], rows[2, 1]
+    assert good["relevant"] and good["n_anchors"] == good["n_chunks"] >= good["n_deduped"] >= 1 and 5 < len(good["top"]) <= 10
+    assert not bad["relevant"] and (bad["n_anchors"], len(bad["top"])) == (0, 5)
+    scores = [t["score"] for t in good["top"]]
+    assert scores == sorted(scores, reverse=True) and all(len(t["text"]) <= 103 for t in good["top"])
+
+
+def test_session_log_feeds_the_next_search(spark, tables, tmp_path):
+    asked, hits, pages = tables
+    log, c = f"{tmp_path}/log", Search(max_results=10)
+    assert sessions.recall(spark, log, "s", 100.0, asked).count() == 0
+    first = search.search_tables(asked, hits, pages, c)[2]
+    sessions.remember(first, log, "s", 100.0)
+    seen = sessions.recall(spark, log, "s", 105.0, asked)
+    assert {r["key"] for r in seen.collect()} == {r["key"] for r in first.collect()} and seen.count() >= 3
+    assert search.search(asked, hits, pages, c, seen, True).first()["result"].startswith("0/")
+    assert sessions.recall(spark, log, "other", 105.0, asked).count() == 0
+    assert sessions.recall(spark, log, "s", 111.0, asked).count() == 0  # it has rested
+    sessions.remember(spark.createDataFrame([(1, "k")], "query_id long, key string"), log, "s", 120.0)
+    assert {r["key"] for r in sessions.recall(spark, log, "s", 125.0, asked).collect()} == {"k"}
+
+
+def test_pages_without_gate_or_time_limit(monkeypatch):
+    asked = []
+    monkeypatch.setattr(web, "get_page", lambda url, timeout, gate=True: asked.append((timeout, gate)) or ("x", None))
+    assert web.get_any("http://x") == ("x", None) and asked == [(None, False)]
