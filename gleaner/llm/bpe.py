@@ -26,6 +26,7 @@ import json
 import re
 import unicodedata
 from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -268,16 +269,20 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.uint16 if max(self.automaton.labels) < 65536 else np.uint32)
         self.used = 0
 
-    def _add(self, ids: list[int], check: int = 0) -> int:
-        if self.n_words == len(self.offsets):
+    def _add(self, words: list[list[int]], checks: np.ndarray) -> np.ndarray:
+        """Numbers of new words, whose ids are held from now on."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        first, total = self.n_words, int(sizes.sum())
+        while first + len(words) > len(self.offsets):
             self.offsets, self.lengths, self.checks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offsets, self.lengths, self.checks))
-        while self.used + len(ids) > len(self.flat):
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.offsets[self.n_words], self.lengths[self.n_words], self.checks[self.n_words] = self.used, len(ids), check
-        self.used += len(ids)
-        self.n_words += 1
-        return self.n_words - 1
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(words), self.flat.dtype, total)
+        self.n_words += len(words)
+        own = slice(first, self.n_words)
+        self.offsets[own], self.lengths[own], self.checks[own] = self.used + np.cumsum(sizes) - sizes, sizes, checks
+        self.used += total
+        return np.arange(first, self.n_words)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers, -1 where unknown."""
@@ -325,19 +330,19 @@ class Encoder:
             new = np.flatnonzero((word < 0) & hashed)
             if len(new):
                 keys, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-                numbers = np.empty(len(keys), np.int64)
-                encode = self.automaton.encode_word
-                for k, i in enumerate(new[first].tolist()):
-                    numbers[k] = self._add(encode(joined[starts[i] : ends[i]].encode()), int(checks[i]))
-                    self._put(int(keys[k]), int(numbers[k]))
+                encode, where = self.automaton.encode_word, new[first]
+                found = [encode(joined[a:b].encode()) for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+                numbers = self._add(found, checks[where])
+                for key, number in zip(keys.tolist(), numbers.tolist()):
+                    self._put(key, number)
                 word[new] = numbers[back]
             word[hashed & (self.checks[word] != checks)] = -1
-        alone: dict[str, int] = {}
-        for i in np.flatnonzero(word < 0).tolist():
-            w = joined[starts[i] : ends[i]]
-            if w not in alone:
-                alone[w] = self._add(self.automaton.encode_word(w.encode()))
-            word[i] = alone[w]
+        odd = np.flatnonzero(word < 0)
+        if len(odd):
+            alone = [joined[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist())]
+            kinds = {w: i for i, w in enumerate(dict.fromkeys(alone))}
+            numbers = self._add([self.automaton.encode_word(w.encode()) for w in kinds], np.zeros(len(kinds), np.uint64))
+            word[odd] = numbers[[kinds[w] for w in alone]]
         n = self.lengths[word].astype(np.int64)
         stop = np.cumsum(n)
         flat = self.flat[np.repeat(self.offsets[word].astype(np.int64) - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
