@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,28 +12,30 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import ship
-from .dom import page_blocks
+from .dom import page_blocks, unescape_closed
 
 BLOCK = "struct<type: string, text: string, index: int, heading_path: array<string>>"
 _KINDS = pa.list_(pa.struct([("type", pa.string()), ("text", pa.string()), ("index", pa.int32()), ("heading_path", pa.list_(pa.string()))]))
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], closed: bool = False) -> Iterator[pa.RecordBatch]:
+    decode = unescape_closed if closed else unescape
     for batch in batches:
         selectors, blocks = [], []
         for html in batch.column("html").to_pylist():
-            selector, found = page_blocks(html)
+            selector, found = page_blocks(html, decode)
             selectors.append(selector)
             blocks.append([vars(b) for b in found])
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("title"), pa.array(selectors, pa.string()), pa.array(blocks, _KINDS)], ["page_id", "url", "title", "selector", "blocks"])
 
 
-def parsed_pages(pages: DataFrame) -> DataFrame:
+def parsed_pages(pages: DataFrame, closed: bool = False) -> DataFrame:
     """page_id, url, title, selector, blocks: html is parsed once a page, in
-    Arrow batches, and goes no further."""
+    Arrow batches, and goes no further. ``closed``: character references count
+    only with their semicolon, not as browsers take them."""
     ship(pages.sparkSession)
     wanted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", text.title(F.col("html")).alias("title"))
-    return wanted.mapInArrow(_parse, f"page_id long, url string, title string, selector string, blocks array<{BLOCK}>")
+    return wanted.mapInArrow(partial(_parse, closed=closed), f"page_id long, url string, title string, selector string, blocks array<{BLOCK}>")
 
 
 def document_blocks(docs: DataFrame) -> DataFrame:
