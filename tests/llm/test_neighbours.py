@@ -57,3 +57,24 @@ def test_copies_and_empty(spark):
     assert [j for _, j in got[0]] == [1, 2, 3, 4, 5] and [j for _, j in got[100]] == [0, 1, 2, 3, 4]
     assert search(spark, [(1, [1.0], "x")]) == {}
     assert neighbours.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_later_queries_do_less_and_find_the_same():
+    """Points without clusters, where windows get wide: a search that starts at the radius
+    the first ones ended with visits a fraction of the entries, and loses nothing."""
+    points = np.random.default_rng(3).standard_normal((4000, 64))
+    index = neighbours.Index(points, np.arange(4000), np.arange(4000))
+    visited = []
+    count = index.hits
+    index.hits = lambda *stretches: (visited.append(sum(int((b - a).sum()) for a, b in stretches)), count(*stretches))[1]
+    pilots = [index.nearest(points[i], i, 5)[1] for i in range(neighbours.PILOTS)]
+    first, hits = float(np.median(pilots)), 0
+    visited.clear()
+    for i in range(100, 200):
+        found, radius = index.nearest(points[i], i, 5, first)
+        scores = points @ points[i] / np.linalg.norm(points, axis=1)
+        scores[i] = -2
+        hits += len({j for j, _ in found} & set(np.argsort(-scores)[:5].tolist()))
+        assert radius <= 2 and len(found) == 5
+    assert hits >= 0.98 * 500
+    assert sum(visited) <= 0.5 * 100 * neighbours.M * 4000
