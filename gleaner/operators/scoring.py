@@ -139,14 +139,15 @@ def heading_proximity_score(w: WindowSpec) -> Column:
 
 
 def structure_score(keys: tuple[str, ...]) -> Column:
+    """Added in hundredths: 0.8 + 0.15 as doubles is more than 0.95."""
     kind = F.col("block_type")
-    base = F.when(kind == "p", 0.8).when(kind == "li", 0.7).when(kind == "pre", 0.65).otherwise(0.4)
+    base = F.when(kind == "p", 80).when(kind == "li", 70).when(kind == "pre", 65).otherwise(40)
     code_near = F.max((kind == "pre").cast("int")).over(group(keys).orderBy("global_index").rangeBetween(-2, 2)) == 1
     hit = (text.overlap(F.col("q"), F.col("tokens")) > 0.3).cast("int")
     others = F.sum(hit).over(Window.partitionBy(*keys, "block_index")) - hit > 0
     above = F.exists("heading_path", lambda h: F.exists("q", lambda t: F.contains(F.lower(h), t)))
-    bonus = F.when(others, 0.15).otherwise(0.0) + F.when(above, 0.1).otherwise(0.0) + F.when((kind != "pre") & code_near, 0.1).otherwise(0.0)
-    return F.least(F.lit(1.0), base.cast("double") + bonus.cast("double"))
+    bonus = F.when(others, 15).otherwise(0) + F.when(above, 10).otherwise(0) + F.when((kind != "pre") & code_near, 10).otherwise(0)
+    return F.least(F.lit(100), base + bonus) / 100.0
 
 
 def heading_path_score() -> Column:
