@@ -37,17 +37,20 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch, ship
+from ..session import materialize as written
+from ..session import scratch, ship
 from .common import Batches, lean, slices
 from .ngram_join import mix, word_hashes
 
+#: Some twenty tables, most of them small: each process that a file starts counts as one more JVM until it has begun.
+materialize = partial(written, plain=True)
 SPAN, K = 400, 64
 COLLECTION = 4_000
 REACHES = (32, 8, 1)

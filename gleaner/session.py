@@ -108,12 +108,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Hadoop's local files without .crc files beside them.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def materialize(df: DataFrame, name: str, plain: bool = False) -> DataFrame:
     """Write ``df`` to shared storage and read it back: cuts lineage and
-    survives lost executors, unlike cached blocks."""
+    survives lost executors, unlike cached blocks.
+
+    Where that storage is a folder and Hadoop's native library is missing, a file and its
+    .crc file start four processes ("chmod") from the executor, ``plain`` files one."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(PLAIN_FILES if plain else {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gleaner_path = path
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -101,6 +102,11 @@ def test_equal_windows_of_one_collection_beyond_its_size(spark):
     assert sum(r[2] for r in got) > 0
 
 
+def test_tables_are_written_without_checksum_files(found):
+    tables = {os.path.dirname(f.removeprefix("file://")) for f in S.remove_repeats(found[0]).inputFiles() if "/gleaner-" in f}
+    assert tables and not any(name.endswith(".crc") for t in tables for name in os.listdir(t))
+
+
 def test_empty(found):
     assert S.remove_repeats(found[0].limit(0)).count() == 0
 

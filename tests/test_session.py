@@ -27,6 +27,12 @@ def test_scratch_tables_go_and_kept_ones_stay(spark):
     assert not any(map(os.path.exists, names)) and last.count() == 5
 
 
+def test_plain_files_have_no_checksum_files(spark):
+    made = [session.materialize(spark.range(5), "files", plain) for plain in (False, True)]
+    assert [any(name.endswith(".crc") for name in os.listdir(os.path.dirname(paths(df)[0]))) for df in made] == [True, False]
+    assert all(df.count() == 5 for df in made)
+
+
 def test_a_cluster_must_name_its_shared_folder():
     def asked(master: str, named: str | None):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named), sparkContext=SimpleNamespace(master=master))
