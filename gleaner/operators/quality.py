@@ -33,6 +33,15 @@ FRAGMENTS = [
     r"^([A-Z][a-z]*\s*){1,5}\.(\s+\d{1,2}\s+\w+\s+\d{4}\.?)?\z",
     rf"(?i)\.\s+\d{{1,2}}\s+{MONTHS}\s+\d{{4}}\.?\z",
 ]
+#: As the SQL of the registered queries has them: sites with a blank in their name and trailing dates are not among them.
+SQL_CITATIONS = [p.replace(r"\s", text.SQL_SPACE) for p in CITATIONS]
+SQL_FRAGMENTS = [
+    r"(?i)^[a-z][a-z0-9-]*\.(com|org|net|edu|gov|io|co\.uk)\.*\z",
+    rf"(?i)^(retrieved|accessed){text.SQL_SPACE}+",
+    r"(?i)^(github|arxiv|wired|lwn|nist|ieee|acm|cisa|suse|ubuntu|openssf|bleepingcomputer|decipher)\.*\z",
+    FRAGMENTS[4].replace(r"\s", text.SQL_SPACE),
+    FRAGMENTS[5].replace(r"\s", text.SQL_SPACE),
+]
 #: Something of this is in every citation; a single plain search spares most sentences the patterns.
 CITATION_HINT = r"(?i)retrieved|accessed|archived|doi|isbn|pmid|arxiv|issn|^[\^\[]"
 FRAGMENT_MOST = 50
@@ -43,16 +52,16 @@ def _either(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def is_citation(sentence: Column, trimmed: bool = False) -> Column:
+def is_citation(sentence: Column, trimmed: bool = False, sql: bool = False) -> Column:
     s = sentence if trimmed else text.trim(sentence)
-    whole = F.when(s.rlike(CITATION_HINT), s.rlike(_either(CITATIONS))).otherwise(F.lit(False))
-    return whole | F.when(text.utf16_length(s) < FRAGMENT_MOST, s.rlike(_either(FRAGMENTS))).otherwise(F.lit(False))
+    whole = F.when(s.rlike(CITATION_HINT), s.rlike(_either(SQL_CITATIONS if sql else CITATIONS))).otherwise(F.lit(False))
+    return whole | F.when(text.length(s, sql) < FRAGMENT_MOST, s.rlike(_either(SQL_FRAGMENTS if sql else FRAGMENTS))).otherwise(F.lit(False))
 
 
-def without_citations(sentences: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def without_citations(sentences: DataFrame, keys: tuple[str, ...] = ("page_id",), sql: bool = False) -> DataFrame:
     """Drops citations (sentences come trimmed); ``pos`` numbers what is left, global_index stays."""
     order = Window.partitionBy(*keys).orderBy("global_index")
-    return sentences.where(~is_citation(F.col("text"), trimmed=True)).withColumn("pos", F.row_number().over(order) - 1)
+    return sentences.where(~is_citation(F.col("text"), trimmed=True, sql=sql)).withColumn("pos", F.row_number().over(order) - 1)
 
 
 def reject_reason(n: Column, long: Column, fragments: Column, median: Column, q: Quality = Quality()) -> Column:
@@ -67,9 +76,9 @@ def reject_reason(n: Column, long: Column, fragments: Column, median: Column, q:
     )
 
 
-def page_quality(sentences: DataFrame, q: Quality = Quality(), keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def page_quality(sentences: DataFrame, q: Quality = Quality(), keys: tuple[str, ...] = ("page_id",), sql: bool = False) -> DataFrame:
     """Counts, median and reason (null: passes) of each page with sentences."""
-    size = text.utf16_length(F.col("text"))
+    size = text.length(F.col("text"), sql)
     counted = sentences.groupBy(*keys).agg(
         F.count("*").alias("n_sentences"),
         F.count_if(size > LONG).alias("n_long"),
