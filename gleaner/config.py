@@ -75,6 +75,7 @@ class Extraction:
     quality: Quality = field(default_factory=Quality)
     skip_quality: bool = False
     stem: bool = True
+    sql: bool = False  # sentences, tokens and citations as SQL has them, see functions.text
     compat_offsets: bool = False  # index by the number before citations went
 
     def merged(self, **sections: dict | bool) -> Extraction:

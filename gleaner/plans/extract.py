@@ -32,8 +32,8 @@ def query_table(spark: SparkSession, queries: list[tuple[int, str]], stem: bool
 
 def page_sentences(parsed: DataFrame, c: Extraction) -> DataFrame:
     """Sentences without citations, with tokens of their heading path."""
-    rows = quality.without_citations(segment.sentences(parsed, c.stem, tokens=c.tokens)).withColumn("at", F.col("global_index") if c.compat_offsets else F.col("pos"))
-    path = text.tokens(F.array_join("heading_path", " "), c.tokens.stop_words, c.tokens.min_length)
+    rows = quality.without_citations(segment.sentences(parsed, c.stem, tokens=c.tokens, sql=c.sql), sql=c.sql).withColumn("at", F.col("global_index") if c.compat_offsets else F.col("pos"))
+    path = text.tokens(F.array_join("heading_path", " "), c.tokens.stop_words, c.tokens.min_length, c.sql)
     return rows.withColumn("path_tokens", stemmed(path) if c.stem else path)
 
 
