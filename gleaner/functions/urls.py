@@ -57,9 +57,9 @@ def dedup_key(url: Column) -> Column:
     return F.coalesce(F.concat(h, F.regexp_replace(p, "/+", "/")), url)
 
 
-def path_words(url: Column) -> Column:
+def path_words(url: Column, sql: bool = False) -> Column:
     """Tokens of the path, before stemming."""
-    return F.coalesce(F.flatten(F.transform(segments(url), lambda s: text.tokens(F.replace(s, F.lit("-"), F.lit(" "))))), F.array().cast("array<string>"))
+    return F.coalesce(F.flatten(F.transform(segments(url), lambda s: text.tokens(F.replace(s, F.lit("-"), F.lit(" ")), sql=sql))), F.array().cast("array<string>"))
 
 
 def domain(url: Column) -> Column:

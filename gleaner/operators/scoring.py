@@ -138,14 +138,14 @@ def heading_proximity_score(w: WindowSpec) -> Column:
     return F.when(head.isNull(), F.lit(0.3)).when(share > 0, F.least(F.lit(1.0), share * 0.6 + near * 0.4)).otherwise(near * 0.5)
 
 
-def structure_score(keys: tuple[str, ...]) -> Column:
+def structure_score(keys: tuple[str, ...], sql: bool = False) -> Column:
     """Added in hundredths: 0.8 + 0.15 as doubles is more than 0.95."""
     kind = F.col("block_type")
     base = F.when(kind == "p", 80).when(kind == "li", 70).when(kind == "pre", 65).otherwise(40)
     code_near = F.max((kind == "pre").cast("int")).over(group(keys).orderBy("global_index").rangeBetween(-2, 2)) == 1
     hit = (text.overlap(F.col("q"), F.col("tokens")) > 0.3).cast("int")
     others = F.sum(hit).over(Window.partitionBy(*keys, "block_index")) - hit > 0
-    above = F.exists("heading_path", lambda h: F.exists("q", lambda t: F.contains(F.lower(h), t)))
+    above = F.exists("heading_path", lambda h: F.exists("q", lambda t: F.contains(text.lower(h, sql), t)))
     bonus = F.when(others, 15).otherwise(0) + F.when(above, 10).otherwise(0) + F.when((kind != "pre") & code_near, 10).otherwise(0)
     return F.least(F.lit(100), base + bonus) / 100.0
 
@@ -164,11 +164,11 @@ def outlier_score() -> Column:
     return F.when((F.size("tokens") == 0) | (z <= 0), F.lit(0.3)).otherwise(0.3 + 0.7 / (1 + F.exp(-(z - 2))))
 
 
-def meta_section_score() -> Column:
-    heading = "(?i)" + "|".join(f"(?:{p})" for p in META_HEADINGS)
-    low = F.lower("text")
+def meta_section_score(sql: bool = False) -> Column:
+    heading = "(?i)" + "|".join(f"(?:{p.replace(chr(92) + 's', text.SQL_SPACE) if sql else p})" for p in META_HEADINGS)
+    low = text.lower(F.col("text"), sql)
     phrase = reduce(lambda a, p: a | F.contains(low, F.lit(p)), META_PHRASES, F.lit(False))
-    return F.when(F.exists("heading_path", lambda h: text.trim(h).rlike(heading)), F.lit(0.2)).when(phrase, F.lit(0.3)).otherwise(F.lit(1.0))
+    return F.when(F.exists("heading_path", lambda h: text.trim(h, sql).rlike(heading)), F.lit(0.2)).when(phrase, F.lit(0.3)).otherwise(F.lit(1.0))
 
 
 def normalized(c: Column, w: WindowSpec) -> Column:
@@ -229,7 +229,7 @@ def relevance(rows: DataFrame, stats: DataFrame, mode: str = "strict", keys: tup
     )
 
 
-def heuristics(rows: DataFrame, keys: tuple[str, ...] = KEYS, weights: dict[str, float] | None = None) -> DataFrame:
+def heuristics(rows: DataFrame, keys: tuple[str, ...] = KEYS, weights: dict[str, float] | None = None, sql: bool = False) -> DataFrame:
     """Adds the nine scores (h_*) and their weighted sum to rows that hold q, the
     page statistics, ``at`` (the sentence's place) and path_tokens."""
     if unknown := set(weights or ()) - set(WEIGHTS):
@@ -241,20 +241,20 @@ def heuristics(rows: DataFrame, keys: tuple[str, ...] = KEYS, weights: dict[str,
         "h_position": position_score(F.col("position")),
         "h_heading_proximity": heading_proximity_score(w),
         "h_density": density_score(),
-        "h_structure": structure_score(keys),
+        "h_structure": structure_score(keys, sql),
         "h_proximity": proximity_score(),
         "h_heading_path": heading_path_score(),
         "h_coverage": coverage_score(),
         "h_outlier": outlier_score(),
-        "h_meta_section": meta_section_score(),
+        "h_meta_section": meta_section_score(sql),
     })
     return scored.withColumn("heuristic_score", sum((F.col(f"h_{k}") * v for k, v in (WEIGHTS | (weights or {})).items()), F.lit(0.0)))
 
 
-def ranked(rows: DataFrame, keys: tuple[str, ...] = KEYS, ranker: Ranker = Ranker(), c: Bm25 = Bm25()) -> DataFrame:
+def ranked(rows: DataFrame, keys: tuple[str, ...] = KEYS, ranker: Ranker = Ranker(), c: Bm25 = Bm25(), sql: bool = False) -> DataFrame:
     """All scores of every sentence and its rank in the group."""
     joined = rows.join(page_stats(rows, keys), list(keys)).withColumn("raw_bm25", bm25(c))
     w = group(keys)
-    scored = heuristics(joined, keys, ranker.weights).withColumn("bm25_score", normalized(F.col("raw_bm25"), w))
+    scored = heuristics(joined, keys, ranker.weights, sql).withColumn("bm25_score", normalized(F.col("raw_bm25"), w))
     scored = scored.withColumn("combined_score", ranker.bm25_weight * F.col("bm25_score") + ranker.heuristic_weight * F.col("heuristic_score"))
     return scored.withColumn("rank", F.row_number().over(w.orderBy(F.col("combined_score").desc(), "global_index")))

@@ -73,9 +73,9 @@ def chosen_hits(hits: DataFrame, asked: DataFrame, c: Search = Search(), seen: D
     return old.withColumn("status", F.when((F.col("status") == "wanted") & F.col("old"), "session_cached").otherwise(F.col("status"))).drop("key", "old")
 
 
-def relevance_tokens(rows: DataFrame, stem: bool = True) -> DataFrame:
+def relevance_tokens(rows: DataFrame, stem: bool = True, sql: bool = False) -> DataFrame:
     """Adds title_tokens and path_tokens of title and url."""
-    title, path = text.tokens(F.col("title")), urls.path_words(F.col("url"))
+    title, path = text.tokens(F.col("title"), sql=sql), urls.path_words(F.col("url"), sql)
     return rows.withColumns({"title_tokens": stemmed(title) if stem else title, "path_tokens": stemmed(path) if stem else path})
 
 
