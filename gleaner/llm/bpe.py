@@ -13,7 +13,8 @@ The language of that automaton is exactly the correct tokenizations, and each
 byte string has one. Reading bytes is made deterministic lazily: a state is the
 longest suffix that begins some token plus the tokens before it and before its own
 suffixes that begin tokens, and its transitions are tabulated when first taken. Encoding a word
-is one table step a byte and one step back a token. Decoding emits arc labels.
+is one table step a byte and one step back a token, for all new words of a batch at once.
+Decoding emits arc labels.
 
 ``Encoder`` splits texts into words with array operations (the byte-level
 pre-tokenizer's pattern), hashes them, and looks known words up in an open
@@ -47,9 +48,13 @@ def byte_symbols() -> dict[str, int]:
 
 class Automaton:
     """Merges compiled by successive merge gadgets. Pairs of small numbers are keys
-    of one integer, so that the tables stay small; ``MEMO`` bounds the tabulated part."""
+    of one integer, so that the tables stay small; ``MEMO`` bounds the tabulated part,
+    to which a call of ``encode_words`` adds at most ``BYTES`` states before it is cut."""
 
-    MEMO = 200_000
+    MEMO = 400_000
+    SLOTS = 1 << 21
+    BYTES = 1 << 18
+    MIX = 0x9E3779B97F4A7C15 - (1 << 64)
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -68,10 +73,15 @@ class Automaton:
         self._build_trie({self.labels[t]: t for t in self.born})
         self.labels |= {i: t.encode() for t, i in self.specials.items()}
         self.size = {t: len(x) for t, x in self.labels.items()}
+        self.sizes = np.zeros(max(self.size) + 1, np.int64)
+        self.sizes[list(self.size)] = list(self.size.values())
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple[int, tuple[int, ...]]] = []
-        self.table: dict[int, int] = {}
-        self.final: list[int] = []
+        self.table: dict[int, int] = {}  # steps of single long words; those of batches are in an open hash table
+        self.steps = np.full(self.SLOTS, -1, np.int64)
+        self.nexts = np.zeros(self.SLOTS, np.int32)
+        self.n_steps = 0
+        self.final = array("i")
         self._forget()
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
@@ -135,8 +145,12 @@ class Automaton:
         self.child, self.ends, self.link, self.depth = child, ends, array("i", link), depth
 
     def _forget(self) -> None:
-        for held in (self.ids, self.states, self.table, self.final):
+        for held in (self.ids, self.states, self.table):
             held.clear()
+        del self.final[:]
+        if self.n_steps:
+            self.steps.fill(-1)
+            self.n_steps = 0
         self._state(0, (START,))
 
     def _state(self, node: int, history: tuple[int, ...]) -> int:
@@ -153,9 +167,6 @@ class Automaton:
         all shorter ones the token before them. The token that ends here is the longest
         whose arc leaves the state where it starts; it stands before the empty suffix."""
         node, history = self.states[state]
-        if len(self.states) > self.MEMO:  # begin the table anew from this state
-            self._forget()
-            state = self._state(node, history)
         child, link, ends, depth = self.child, self.link, self.ends, self.depth
         before, place = {}, node
         for token in history:
@@ -173,17 +184,75 @@ class Automaton:
                 last = ends[place]
             place = link[place]
         now.append(last)
-        following = self._state(at, tuple(now))
-        self.table[state << 8 | byte] = following
+        return self._state(at, tuple(now))
+
+    def _step(self, state: int, byte: int) -> int:
+        if len(self.states) > self.MEMO:  # begin the table anew from this state
+            node, history = self.states[state]
+            self._forget()
+            state = self._state(node, history)
+        following = self.table[state << 8 | byte] = self._tabulate(state, byte)
         return following
 
+    def _steps(self, wanted: np.ndarray) -> np.ndarray:
+        """The states after steps (state << 8 | byte), of which new ones are tabulated."""
+        mask = self.SLOTS - 1
+        slot = (wanted * self.MIX >> 40) & mask
+        held, found = self.steps[slot], self.nexts[slot]
+        odd, new = np.flatnonzero(held != wanted), []
+        while len(odd):
+            free = self.steps[slot[odd]] < 0
+            new.append(odd[free])
+            odd = odd[~free]
+            s = slot[odd] = (slot[odd] + 1) & mask
+            found[odd] = self.nexts[s]
+            odd = odd[self.steps[s] != wanted[odd]]
+        if new:
+            missing = np.concatenate(new)
+            kinds, back = np.unique(wanted[missing], return_inverse=True)
+            made = [self._tabulate(step >> 8, step & 255) for step in kinds.tolist()]
+            for step, following, at in zip(kinds.tolist(), made, (kinds * self.MIX >> 40 & mask).tolist()):
+                while self.steps[at] >= 0:
+                    at = (at + 1) & mask
+                self.steps[at], self.nexts[at] = step, following
+            self.n_steps += len(made)
+            found[missing] = np.array(made, np.int32)[back]
+        return found
+
+    def encode_words(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words laid end to end in ``data``, each of 1 to ``BYTES`` bytes, and how many
+        each word has. Words take a step at a time together, the longest first."""
+        stops = np.cumsum(lengths)
+        if len(data) > self.BYTES and len(lengths) > 1:
+            cut = min(max(int(np.searchsorted(stops, self.BYTES)), 1), len(lengths) - 1)
+            parts = [self.encode_words(data[: stops[cut - 1]], lengths[:cut]), self.encode_words(data[stops[cut - 1] :], lengths[cut:])]
+            return tuple(map(np.concatenate, zip(*parts)))
+        if len(self.states) > self.MEMO or self.n_steps > self.SLOTS // 2:
+            self._forget()
+        starts = stops - lengths
+        order = np.argsort(-lengths, kind="stable")
+        at, state = starts[order], np.zeros(len(lengths), np.int64)
+        last = np.empty(len(data), np.int32)
+        for active in (len(lengths) - np.cumsum(np.bincount(lengths))[:-1]).tolist():
+            at = at[:active]
+            state = self._steps(state[:active] << 8 | data[at]).astype(np.int64)
+            last[at] = np.frombuffer(self.final, np.int32)[state]
+            at = at + 1
+        ends, first = np.zeros(len(data), bool), starts
+        while len(stops):
+            ends[stops - 1] = True
+            stops = stops - self.sizes[last[stops - 1]]
+            more = stops > first
+            stops, first = stops[more], first[more]
+        return last[ends], np.add.reduceat(ends, starts, dtype=np.int64)
+
     def encode_word(self, word: bytes) -> list[int]:
         """One table step a byte, one step back a token; words of any length."""
         if len(self.states) > self.MEMO:
             self._forget()
         known, final, state, last = self.table.get, self.final, 0, array("i")
         for b in word:
-            state = known(state << 8 | b) or self._tabulate(state, b)
+            state = known(state << 8 | b) or self._step(state, b)
             last.append(final[state])
         out, at, size = [], len(word), self.size
         while at:
@@ -269,16 +338,15 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.uint16 if max(self.automaton.labels) < 65536 else np.uint32)
         self.used = 0
 
-    def _add(self, words: list[list[int]], checks: np.ndarray) -> np.ndarray:
+    def _add(self, ids: np.ndarray, sizes: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Numbers of new words, whose ids are held from now on."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        first, total = self.n_words, int(sizes.sum())
-        while first + len(words) > len(self.offsets):
+        first, total = self.n_words, len(ids)
+        while first + len(sizes) > len(self.offsets):
             self.offsets, self.lengths, self.checks = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offsets, self.lengths, self.checks))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(words), self.flat.dtype, total)
-        self.n_words += len(words)
+        self.flat[self.used : self.used + total] = ids
+        self.n_words += len(sizes)
         own = slice(first, self.n_words)
         self.offsets[own], self.lengths[own], self.checks[own] = self.used + np.cumsum(sizes) - sizes, sizes, checks
         self.used += total
@@ -297,11 +365,15 @@ class Encoder:
             odd = odd[(self.keys[s] != hashes[odd]) & (found[odd] >= 0)]
         return found
 
-    def _put(self, key: int, word: int) -> None:
-        slot = (key >> 40) & (self.SLOTS - 1)
-        while self.slot_word[slot] >= 0:
-            slot = (slot + 1) & (self.SLOTS - 1)
-        self.keys[slot], self.slot_word[slot] = key, word
+    def _put(self, hashes: np.ndarray, words: np.ndarray) -> None:
+        """Different hashes take the next free slots; where several want one, the last gets it."""
+        slot = (hashes >> np.uint64(40)).astype(np.int64) & (self.SLOTS - 1)
+        while len(slot):
+            free = self.slot_word[slot] < 0
+            self.slot_word[slot[free]] = words[free]
+            own = self.slot_word[slot] == words
+            self.keys[slot[own]] = hashes[own]
+            hashes, words, slot = hashes[~own], words[~own], (slot[~own] + 1) & (self.SLOTS - 1)
 
     def _hashes(self, which: int, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         total = np.zeros(len(codes) + 1, np.uint64)
@@ -309,6 +381,14 @@ class Encoder:
         found = (total[ends] - total[starts]) * self.inverse[which][starts]
         return found ^ (found >> np.uint64(29)) + (ends - starts).astype(np.uint64)
 
+    def _encoded(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = ends - starts
+        stops = np.cumsum(n)
+        own = codes[np.repeat(starts - (stops - n), n) + np.arange(stops[-1])]
+        widths = 1 + (own > 0x7F) + (own > 0x7FF).astype(np.int64) + (own > 0xFFFF)
+        data = np.frombuffer(own.tobytes().decode("utf-32-le").encode(), np.uint8)
+        return self.automaton.encode_words(data, np.add.reduceat(widths, stops - n))
+
     def _chunk(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without special tokens or SEPARATOR."""
         if self.n_words > self.SLOTS // 3 or self.used > self.HELD:
@@ -330,18 +410,17 @@ class Encoder:
             new = np.flatnonzero((word < 0) & hashed)
             if len(new):
                 keys, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-                encode, where = self.automaton.encode_word, new[first]
-                found = [encode(joined[a:b].encode()) for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-                numbers = self._add(found, checks[where])
-                for key, number in zip(keys.tolist(), numbers.tolist()):
-                    self._put(key, number)
+                where = new[first]
+                numbers = self._add(*self._encoded(codes, starts[where], ends[where]), checks[where])
+                self._put(keys, numbers)
                 word[new] = numbers[back]
             word[hashed & (self.checks[word] != checks)] = -1
         odd = np.flatnonzero(word < 0)
         if len(odd):
             alone = [joined[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist())]
             kinds = {w: i for i, w in enumerate(dict.fromkeys(alone))}
-            numbers = self._add([self.automaton.encode_word(w.encode()) for w in kinds], np.zeros(len(kinds), np.uint64))
+            ids = [self.automaton.encode_word(w.encode()) for w in kinds]
+            numbers = self._add(np.fromiter(chain.from_iterable(ids), self.flat.dtype), np.fromiter(map(len, ids), np.int64), np.zeros(len(kinds), np.uint64))
             word[odd] = numbers[[kinds[w] for w in alone]]
         n = self.lengths[word].astype(np.int64)
         stop = np.cumsum(n)

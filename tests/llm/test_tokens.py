@@ -10,7 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from gleaner.llm import packing, queries, tokens
-from gleaner.llm.bpe import Encoder
+from gleaner.llm.bpe import Automaton, Encoder
 
 P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_50k.json")
@@ -142,6 +142,27 @@ def test_table_begins_anew_within_a_word(library):
         assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_together(library, monkeypatch):
+    own = Encoder(PATH)
+    monkeypatch.setattr(own.automaton, "encode_word", lambda word: pytest.fail("a step of the interpreter for each byte of each new word"))
+    pick = random.Random(5)
+    texts = [" ".join("".join(pick.choices("abdeinorstué中😀'1", k=pick.randint(1, 40))) for _ in range(400)) for _ in range(8)]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_tables_of_batches_begin_anew(library, monkeypatch):
+    monkeypatch.setattr(Automaton, "SLOTS", 512)
+    own = Encoder(PATH)
+    own.automaton.MEMO, own.automaton.BYTES = 100, 64
+    begun, forget = [], own.automaton._forget
+    monkeypatch.setattr(own.automaton, "_forget", lambda: (begun.append(own.automaton.n_steps), forget()))
+    texts = samples(300)
+    for text, ids in zip(texts, own.encode(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(begun) > 10 and max(begun) <= 512 // 2 + 64
+
+
 def test_least_squares_matches_histogram():
     wanted = np.zeros(11, np.int64)
     wanted[[3, 7, 5, 2]] = [40, 40, 20, 10]
